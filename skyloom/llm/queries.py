@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.exact_dedup import exact_dedup
+from skyloom.llm.length_histogram import context_totals, length_counts
+from skyloom.llm.packing import pack_documents
 from skyloom.llm.simhash import simhash_components
-from skyloom.session import table
+from skyloom.llm.token_store import read_boundaries, write_store
+from skyloom.session import new_path, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -18,6 +22,21 @@ def query(f):
     return f
 
 
+@query
+def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals for every context limit over the byte-level BPE lengths of documents."""
+    docs = table(spark, sf_dir, "documents")
+    return context_totals(length_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+@query
+def op7_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token store of documents with Elias-Fano boundaries, written and read back."""
+    path = new_path(spark, "tokens")
+    write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_boundaries(spark, path)
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal normalised texts of documents."""
@@ -32,6 +51,12 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, t.text_sha256 from
 """
 
 
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate components of documents."""
