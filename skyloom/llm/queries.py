@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.llm import quotes, url_filter, warc
+from skyloom.llm.decontaminate import leaks
 from skyloom.llm.exact_dedup import exact_dedup
+from skyloom.llm.language_id import fit, identify
 from skyloom.llm.length_histogram import context_totals, length_counts
 from skyloom.llm.packing import pack_documents
 from skyloom.llm.simhash import simhash_components
@@ -17,11 +20,164 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
+#: Seconds of 2020-01-01 and of four years: when pages were fetched and hosts were listed.
+EPOCH, YEARS = 1577836800, 126230400
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages with a fetch time derived from the page's number."""
+    return table(spark, sf_dir, "pages").select("page_id", "url", (F.lit(EPOCH) + F.col("page_id") * 7919 % YEARS).alias("fetched_at"))
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """A dated list derived from the hosts of pages: four entries a host, for the host, its parent and a path."""
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    drawn = hosts.select("host", F.explode(F.array(*map(F.lit, range(4)))).alias("k")).withColumn(
+        "draw", F.conv(F.substring(F.md5(F.concat("host", F.lit("#"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long")
+    )
+    parent = F.regexp_replace("host", r"^[^.]+\.(.+\..+)$", "$1")
+    key = F.when(F.col("k") == 1, F.concat(F.lit("d:"), parent)).when(F.col("k") == 2, F.concat(F.lit("p:"), "host", F.lit("/en"))).otherwise(F.concat(F.lit("d:"), "host"))
+    action = F.element_at(F.array(*map(F.lit, ("block", "allow", "remove", "block"))), (F.col("draw") % 4 + 1).cast("int"))
+    return drawn.select(key.alias("key"), (F.lit(EPOCH) + F.col("draw") % YEARS).alias("listed_at"), action.alias("action"))
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list entries active when it was fetched."""
+    seen = captures(spark, sf_dir)
+    out = url_filter.judge(seen, url_list(seen), keep=["page_id"])
+    return out.select("row.page_id", "url", "fetched_at", "matched_key", "action", "valid_from", "blocked")
+
+
+ORACLE_SQL["op1_url_filter"] = rf"""
+with c as (select page_id, url, {EPOCH} + (page_id * 7919) % {YEARS} as fetched_at,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) as host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) || '/' as path from pages),
+h as (select distinct host from c where host <> ''),
+d as (select host, k, cast('0x' || substr(md5(host || '#' || k), 1, 8) as bigint) as draw from h, range(4) as r(k)),
+e as (select distinct case k when 1 then regexp_replace(host, '^[^.]+\.(.+\..+)$', '\1') else host end as name, k = 2 as is_path,
+    {EPOCH} + draw % {YEARS} as listed_at, ['block', 'allow', 'remove', 'block'][draw % 4 + 1] as action from d),
+one as (select name, is_path, listed_at, max(action) as action from e group by all),
+i as (select *, lead(listed_at) over (partition by name, is_path order by listed_at) as valid_to from one),
+m as (select page_id, case when is_path then 'p:' || name || '/en' else 'd:' || name end as matched_key, action, listed_at as valid_from,
+    row_number() over (partition by page_id order by is_path desc, length(name) desc) as rank
+    from c join i on action <> 'remove' and listed_at <= fetched_at and (valid_to is null or fetched_at < valid_to)
+    and case when is_path then host = name and starts_with(path, '/en/') else host = name or ends_with(host, '.' || name) end)
+select c.page_id, url, fetched_at, matched_key, action, valid_from, coalesce(action = 'block', false) as blocked
+from c left join (select * from m where rank = 1) m on c.page_id = m.page_id
+"""
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as response records, with the record id, date and headers that a crawler would have kept."""
+    seen = F.lit(EPOCH) + F.col("page_id") * 7919 % YEARS
+    header = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n"))
+    return table(spark, sf_dir, "pages").select(
+        warc.uuid_of(F.concat_ws(" ", F.lit("response"), F.col("page_id").cast("string"), "url")).alias("record_id"),
+        F.col("url").alias("uri"),
+        F.date_format(F.timestamp_seconds(seen), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
+        header.alias("headers"),
+        F.col("html").alias("payload"),
+    )
+
+
+@query
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return warc.derive(responses(spark, sf_dir))
+
+
+def _sql_uuid(name: str) -> str:
+    h = f"md5({name})"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+def _sql_digest(text: str) -> str:
+    word = [f"cast('0x' || substr(sha1({text}), {1 + 10 * i}, 10) as bigint)" for i in range(4)]
+    return "'sha1:' || " + " || ".join(f"substr('{warc.BASE32}', cast(({w} >> {s}) & 31 as integer) + 1, 1)" for w in word for s in range(35, -1, -5))
+
+
+def _sql_text(html: str) -> str:
+    out = html
+    for pattern in ("(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"):
+        out = f"regexp_replace({out}, '{pattern}', ' ', 'g')"
+    out = rf"regexp_replace({out}, '(?i)</?(?:{warc.BLOCK_TAGS})\b[^>]*>', chr(10), 'g')"
+    out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
+    for name, char in warc.REFERENCES:
+        out = f"replace({out}, '{name}', chr({ord(char)}))"
+    out = rf"regexp_replace({out}, '[ \t\r\f]+', ' ', 'g')"
+    out = rf"regexp_replace({out}, ' ?\n[ \n]*', chr(10), 'g')"
+    return rf"regexp_replace({out}, '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+ORACLE_SQL["op3_warc_derivatives"] = rf"""
+with p as (select {_sql_uuid("concat_ws(' ', 'response', cast(page_id as varchar), url)")} as refers_to, url as refers_to_uri,
+    strftime(make_timestamp(({EPOCH} + (page_id * 7919) % {YEARS}) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as refers_to_date,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=UTF-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) as source_headers,
+    {_sql_digest("html")} as source_digest, {_sql_text("html")} as txt,
+    regexp_extract(html, '(?is)<title[^>]*>([^<]*)<', 1) as title, regexp_extract(html, '(?i)<html[^>]*\blang="([^"]*)"', 1) as language,
+    len(regexp_extract_all(html, '(?i)<a\s[^>]*href=')) as outlinks from pages),
+r as (select refers_to, refers_to_uri, refers_to_date, source_headers, source_digest, 'metadata' as warc_type, {_sql_uuid("'metadata ' || refers_to")} as record_id,
+    'application/warc-fields' as content_type, 'title: ' || trim(regexp_replace(title, '\s+', ' ', 'g')) || chr(13) || chr(10) || 'language: ' || language || chr(13) || chr(10)
+    || 'outlinks: ' || outlinks || chr(13) || chr(10) || 'text-characters: ' || length(txt) || chr(13) || chr(10) as block from p
+    union all select refers_to, refers_to_uri, refers_to_date, source_headers, source_digest, 'conversion', {_sql_uuid("'conversion ' || refers_to")}, 'text/plain; charset=UTF-8', txt from p)
+select *, strlen(block) as content_length, {_sql_digest("block")} as block_digest from r
+"""
+
+
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as mails: each message quotes the one before it and, one level deeper, the one before that."""
+    said = table(spark, sf_dir, "conversations")
+    first = said.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    one = first.select(F.col("conv_id").alias("c1"), (F.col("turn") + 1).alias("t1"), F.concat(F.lit("> "), F.replace("said", F.lit("\n"), F.lit("\n> ")), F.lit("\n")).alias("q1"))
+    two = first.select(F.col("conv_id").alias("c2"), (F.col("turn") + 2).alias("t2"), F.concat(F.lit(">> "), F.replace("said", F.lit("\n"), F.lit("\n>> ")), F.lit("\n")).alias("q2"))
+    both = said.join(one, (F.col("conv_id") == F.col("c1")) & (F.col("turn") == F.col("t1")), "left").join(two, (F.col("conv_id") == F.col("c2")) & (F.col("turn") == F.col("t2")), "left")
+    none = F.lit("")
+    return both.select("conv_id", "turn", "role", F.concat(F.coalesce("q2", none), F.coalesce("q1", none), F.coalesce("text", none)).alias("text"))
+
+
+@query
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, each message quoting those before it, in reply order without the quotes."""
+    return quotes.link_quotes(mails(spark, sf_dir))
+
+
+ORACLE_SQL["op4_quotes"] = r"""
+with said as (select conv_id, turn, min(text) as said from conversations group by all),
+m as (select c.conv_id, c.turn, c.role, coalesce('>> ' || replace(b.said, chr(10), chr(10) || '>> ') || chr(10), '')
+    || coalesce('> ' || replace(a.said, chr(10), chr(10) || '> ') || chr(10), '') || coalesce(c.text, '') as text
+    from conversations c left join said a on a.conv_id = c.conv_id and a.turn + 1 = c.turn left join said b on b.conv_id = c.conv_id and b.turn + 2 = c.turn),
+n as (select *, row_number() over (partition by conv_id order by turn, role, text) - 1 as place from m),
+split as (select conv_id, place, turn, role, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) as line,
+    generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) as at from n),
+l as (select *, length(replace(regexp_extract(line, '^((?: ?>)+) ?', 1), ' ', '')) as level, regexp_replace(line, '^((?: ?>)+) ?', '') as words from split),
+own as (select conv_id, place, turn, role, regexp_replace(coalesce(string_agg(words, chr(10) order by at) filter (where level = 0), ''), '^\s+|\s+$', '', 'g') as text, max(level) as depth from l group by all),
+s as (select *, case when level = lag(level) over (partition by conv_id, place order by at) then 0 else 1 end as new from l),
+r as (select *, sum(new) over (partition by conv_id, place order by at) as passage from s),
+p as (select conv_id, place, turn, passage, level, string_agg(words, chr(10) order by at) as words from r where level > 0 group by all),
+u as (select conv_id, place, turn, passage, level, 1 as whole, words as u from p union all select conv_id, place, turn, passage, level, 0, unnest(string_split(words, chr(10))) from p),
+k as (select conv_id, turn, text as u from own union all select conv_id, turn, unnest(string_split(text, chr(10))) from own),
+f as (select conv_id, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) as u, min(turn) as original from k group by all),
+x as (select u.conv_id, place, passage, level, max({'whole': whole, 'size': length(f.u), 'original': original}) as b
+    from u join f on f.conv_id = u.conv_id and f.u = trim(regexp_replace(lower(u.u), '\s+', ' ', 'g')) and f.u <> '' and original < turn group by all),
+g as (select conv_id, place, max({'near': -level, 'original': b.original}).original as reply_to, count(*) as linked from x group by all),
+q as (select conv_id, place, count(*) as quotes from p group by all)
+select own.conv_id, own.place, turn, role, text, reply_to, coalesce(quotes, 0) as quotes, coalesce(linked, 0) as linked, depth
+from own left join g on g.conv_id = own.conv_id and g.place = own.place left join q on q.conv_id = own.conv_id and q.place = own.place
+"""
+
+
 @query
 def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals for every context limit over the byte-level BPE lengths of documents."""
@@ -29,6 +185,15 @@ def op5_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_totals(length_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labels of four fifths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identify(docs.select("doc_id", "text"), fit(docs))
+    held_out = F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 5 == 0
+    return out.select("row.doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score", F.col("found.bits").alias("bits_per_symbol"))
+
+
 @query
 def op7_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token store of documents with Elias-Fano boundaries, written and read back."""
