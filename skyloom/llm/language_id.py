@@ -34,6 +34,8 @@ SEGMENT = 512
 #: Symbols of text parsed at once.
 BATCH = 1 << 21
 OTHER, SPACE, FIRST = 0, 1, 2
+#: The language of a text that has none.
+UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -153,7 +155,7 @@ def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and bits a symbol of each text. The score is how far the winner leads, from 0 to 1."""
     known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
-    langs, scores, rates = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    langs, scores, rates = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     at = 0
     while at < len(known):
         some, symbols, held = [], [], 0

@@ -160,12 +160,12 @@ m as (select c.conv_id, c.turn, c.role, coalesce('>> ' || replace(b.said, chr(10
     from conversations c left join said a on a.conv_id = c.conv_id and a.turn + 1 = c.turn left join said b on b.conv_id = c.conv_id and b.turn + 2 = c.turn),
 n as (select *, row_number() over (partition by conv_id order by turn, role, text) - 1 as place from m),
 split as (select conv_id, place, turn, role, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) as line,
-    generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) as at from n),
+    generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) as pos from n),
 l as (select *, length(replace(regexp_extract(line, '^((?: ?>)+) ?', 1), ' ', '')) as level, regexp_replace(line, '^((?: ?>)+) ?', '') as words from split),
-own as (select conv_id, place, turn, role, regexp_replace(coalesce(string_agg(words, chr(10) order by at) filter (where level = 0), ''), '^\s+|\s+$', '', 'g') as text, max(level) as depth from l group by all),
-s as (select *, case when level = lag(level) over (partition by conv_id, place order by at) then 0 else 1 end as new from l),
-r as (select *, sum(new) over (partition by conv_id, place order by at) as passage from s),
-p as (select conv_id, place, turn, passage, level, string_agg(words, chr(10) order by at) as words from r where level > 0 group by all),
+own as (select conv_id, place, turn, role, regexp_replace(coalesce(string_agg(words, chr(10) order by pos) filter (where level = 0), ''), '^\s+|\s+$', '', 'g') as text, max(level) as depth from l group by all),
+s as (select *, case when level = lag(level) over (partition by conv_id, place order by pos) then 0 else 1 end as new from l),
+r as (select *, sum(new) over (partition by conv_id, place order by pos) as passage from s),
+p as (select conv_id, place, turn, passage, level, string_agg(words, chr(10) order by pos) as words from r where level > 0 group by all),
 u as (select conv_id, place, turn, passage, level, 1 as whole, words as u from p union all select conv_id, place, turn, passage, level, 0, unnest(string_split(words, chr(10))) from p),
 k as (select conv_id, turn, text as u from own union all select conv_id, turn, unnest(string_split(text, chr(10))) from own),
 f as (select conv_id, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) as u, min(turn) as original from k group by all),
