@@ -84,7 +84,7 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) + low.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
 
-def _write_chunks(path: str, end: int):
+def _write_chunks(path: str, end: int, chunk_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         width = 2 if encoder.size <= 1 << 16 else 4
@@ -113,7 +113,7 @@ def _write_chunks(path: str, end: int):
                     docs.append(doc)
                     data.append(ids + tail)
                     held += len(ids) // 4 + 1
-                    if len(docs) >= CHUNK_DOCS or held >= CHUNK_IDS:
+                    if len(docs) >= chunk_docs or held >= CHUNK_IDS:
                         yield close()
         if docs:
             yield close()
@@ -121,11 +121,11 @@ def _write_chunks(path: str, end: int):
     return run
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk_docs: int = CHUNK_DOCS) -> None:
     """Encode every whole text and write the store to path, in ascending id order."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = texts.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text")).select("id", "text")
-    ordered.mapInArrow(_write_chunks(tokenizer_path, end), CHUNK).write.parquet(path)
+    ordered.mapInArrow(_write_chunks(tokenizer_path, end, chunk_docs), CHUNK).write.parquet(path)
 
 
 def _read_chunks(base: dict[int, int]):
