@@ -1,4 +1,6 @@
 """Every registered query of the library's own operators, with its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from skyloom.plans import arrays, imaging, logs
+
+QUERIES: dict = {**imaging.QUERIES, **arrays.QUERIES, **logs.QUERIES}
+ORACLE_SQL: dict = {**imaging.ORACLE_SQL, **arrays.ORACLE_SQL, **logs.ORACLE_SQL}
