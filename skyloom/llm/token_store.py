@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from skyloom.llm.tokens import word_encoder
 
 #: A chunk is closed once it has so many documents or token ids.
-CHUNK_DOCS, CHUNK_IDS = 4096, 1 << 20
+CHUNK_DOCS, CHUNK_IDS = 4096, 1 << 16
 #: One-bits of ``high`` between two marks.
 EVERY = 64
-TEXTS = 1000
+TEXTS = 250
 
 CHUNK = "shard int, chunk int, before long, doc_ids array<long>, n_ids long, width int, ids binary, low_bits int, low binary, high binary, marks binary"
 
