@@ -1,0 +1,47 @@
+"""Work by region: a function per region, reductions, and what happens when a region fails.
+
+Regions are rows that share key columns. Spark deals them to tasks and retries lost ones; these helpers add what a caller
+may want beyond that: to go on without regions whose function raises, and to know which.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+FAILED = "failed"
+
+
+def per_region(df: DataFrame, keys: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, failout: bool = False) -> DataFrame:
+    """kernel on each region. With failout, a region whose kernel raises gives no rows but one with the error in ``failed``,
+    its keys kept; others have a null there. Regions must fit in a task: key them so that their size is bounded."""
+    if not failout:
+        return df.groupBy(*keys).applyInPandas(kernel, schema)
+    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def guarded(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return kernel(pdf).assign(failed=None)[[*columns, FAILED]]
+        except Exception as error:  # the point of failout
+            row = {c: pdf[c].iloc[0] if c in keys else None for c in columns}
+            return pd.DataFrame([{**row, FAILED: repr(error)}])
+
+    return df.groupBy(*keys).applyInPandas(guarded, f"{schema}, {FAILED} string")
+
+
+def reduce_regions(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums over regions: map-side partial sums, then one row per key; the tree of collectors is Spark's own."""
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+
+
+def chunks(df: DataFrame, index: str, size: int) -> DataFrame:
+    """Adds chunk: consecutive indexes in chunks of a size, by arithmetic rather than by a sort."""
+    return df.withColumn("chunk", F.floor(F.col(index) / size))
+
+
+def fold(values: Column, zero: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None) -> Column:
+    """Left fold of an array column."""
+    return F.aggregate(values, zero, step, finish) if finish else F.aggregate(values, zero, step)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.operators import binning as B
+from skyloom.operators import collectives as C
 from skyloom.operators import regions as R
 from skyloom.operators import vectors as V
 from skyloom.operators import words as W
@@ -219,3 +220,30 @@ def x5_balance(spark, sf_dir):
     work = sorted(orders.groupBy("n_regionkey").agg(F.count("*").alias("n")).collect())  # one row a region
     nodes = R.balance([float(r["n"]) for r in work], 16) if work else []
     return spark.createDataFrame([(r["n_regionkey"], r["n"], k, r["n"] / k) for r, k in zip(work, nodes)], "region int, n long, nodes int, span double")
+
+
+@query("select rank, case when rank = 7 then null else s end as s, rank = 7 as failed from (select l_suppkey % 50 as rank, sum(l_quantity) as s from lineitem group by all)")
+def d10_failout(spark, sf_dir):
+    """Partial sums by region (a partial aggregate first, so regions are small); one region's kernel fails and is named, the others go on."""
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("rank"), "l_suppkey").agg(F.sum("l_quantity").alias("x"))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["rank"].iloc[0] == 7:
+            raise RuntimeError("region lost")
+        return pd.DataFrame({"rank": [pdf["rank"].iloc[0]], "s": [pdf["x"].sum()]})
+
+    out = C.per_region(rows, ["rank"], kernel, "rank long, s double", failout=True)
+    return out.select("rank", "s", F.col("failed").isNotNull().alias("failed"))
+
+
+@query("select l_orderkey // 1000 as chunk, count(*) as n, sum(l_quantity) as s from lineitem group by all")
+def o7_chunks(spark, sf_dir):
+    """Sums of consecutive chunks of a thousand order keys."""
+    return C.chunks(table(spark, sf_dir, "lineitem"), "l_orderkey", 1000).groupBy("chunk").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("s"))
+
+
+@query("select vec_id, list_sum(list_transform(embedding, lambda x: cast(floor(x * 1000) as bigint))) as folded from embeddings")
+def a2_fold(spark, sf_dir):
+    """Left fold over each embedding."""
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000))
+    return table(spark, sf_dir, "embeddings").select("vec_id", C.fold(whole, F.lit(0).cast("long"), lambda s, x: s + x).alias("folded"))

@@ -124,3 +124,23 @@ def l19_bandwidth(spark, sf_dir):
     """Mean counter units a millisecond, by processor."""
     c = calls(spark, sf_dir).filter("stop > start")
     return c.groupBy("pid").agg(F.count("*").alias("n"), F.round(F.avg(F.col("scalar") / (F.col("stop") - F.col("start"))), 6).alias("per_ms"))
+
+
+@query(f"with {LOG} select event_id as at, concat(start, ': cap ', pid, ': START [scalar=', scalar0, '] [sse=', sse0, '] ', msg) as value from log join events using (event_id)")
+def l2_glue(spark, sf_dir):
+    """Log lines whose message was split in three, put together again."""
+    e = table(spark, sf_dir, "events")
+    whole = F.format_string("%d: cap %d: START [scalar=%d] [sse=%d] %s", F.unix_millis(F.col("ts").cast("timestamp")), "user_id", F.col("event_id") % 97, F.col("event_id") % 31, "event_type")
+    mark = F.concat(F.lit("[["), F.col("event_id").cast("string"), F.lit("]]"))
+    cut_up = e.select("event_id", whole.alias("line"), mark.alias("mark")).select(
+        F.col("event_id").cast("string").alias("log"),
+        F.explode(
+            F.array(
+                F.struct((F.col("event_id") * 3).alias("at"), F.concat(F.substring("line", 1, 20), "mark").alias("value")),
+                F.struct((F.col("event_id") * 3 + 1).alias("at"), F.concat("mark", F.substring("line", 21, 9), "mark").alias("value")),
+                F.struct((F.col("event_id") * 3 + 2).alias("at"), F.concat("mark", F.expr("substring(line, 30)")).alias("value")),
+            )
+        ).alias("x"),
+    )
+    glued = L.glue(cut_up.select("log", "x.at", "x.value"))
+    return glued.select((F.col("at") / 3).cast("long").alias("at"), "value")
