@@ -132,3 +132,18 @@ def hermitian_fold(image: DataFrame, n: int) -> DataFrame:
 
 def normalise(image: DataFrame, factor: float) -> DataFrame:
     return image.withColumns({"gre": F.col("gre") * factor, "gim": F.col("gim") * factor})
+
+
+def in_bounds_support(points: DataFrame, grid: int, support: str) -> DataFrame:
+    """Points whose own support, a column, lies in the grid."""
+    return points.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < grid - F.col(support)) & (F.col("y") < grid - F.col(support)))
+
+
+def polarisation(image: DataFrame, pol: int, grid: int) -> DataFrame:
+    """One polarisation of a grid, over its number of cells."""
+    return normalise(image.filter(F.col("pol") == pol).drop("pol"), 1.0 / grid**2)
+
+
+def layer_support(plane: Column, least: int, growth: int, most: int) -> Column:
+    """Support of the convolution function of a w-plane."""
+    return F.least(F.lit(most), F.lit(least) + F.lit(growth) * F.abs(plane))

@@ -134,3 +134,15 @@ def reproject(image: DataFrame, n: int, place) -> DataFrame:
     fan = at.select("y", "x", F.explode(F.array(*[F.struct(*c) for c in corners])).alias("c")).select("y", "x", "c.*")
     cells = image.select(F.col("y").alias("iy"), F.col("x").alias("ix"), "val")
     return fan.join(cells, ["iy", "ix"], "left").groupBy("y", "x").agg(F.sum(F.col("weight") * F.coalesce("val", F.lit(0.0))).alias("val"))
+
+
+def dense(image: DataFrame, n: int) -> DataFrame:
+    """Every cell of an n x n grid; absent ones are zero."""
+    cells = image.sparkSession.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("y"), (F.col("id") % n).cast("int").alias("x"))
+    return cells.join(image, ["y", "x"], "left").select("y", "x", F.coalesce("gre", F.lit(0.0)).alias("gre"), F.coalesce("gim", F.lit(0.0)).alias("gim"))
+
+
+def pixel_area_ratio(out_cd: list[list[float]], in_cd: list[list[float]]) -> float:
+    """Area of an output pixel in input pixels."""
+    area = lambda m: abs(m[0][0] * m[1][1] - m[0][1] * m[1][0])
+    return area(out_cd) / area(in_cd)

@@ -39,7 +39,7 @@ def as_of(points: DataFrame, steps: DataFrame, at: str, key: str) -> DataFrame:
     rows = [tuple(r) for r in steps.orderBy(key).collect()]
     names = steps.columns
     arr = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
-    return points.withColumn("step", F.element_at(F.filter(arr, lambda s: s[key] <= F.col(at)), -1)).select("*", "step.*").drop("step")
+    return points.withColumn("step", F.try_element_at(F.filter(arr, lambda s: s[key] <= F.col(at)), F.lit(-1))).select("*", "step.*").drop("step")
 
 
 def balance(times: list[float], nodes: int) -> list[int]:
@@ -61,3 +61,14 @@ def shares(items: DataFrame, order: str, weight: str, total: int) -> DataFrame:
     high = F.sum(weight).over(run) / F.sum(weight).over(Window.partitionBy())
     low = (F.sum(weight).over(run) - F.col(weight)) / F.sum(weight).over(Window.partitionBy())
     return items.withColumn("n", (F.floor(high * total) - F.floor(low * total)).cast("long"))
+
+
+def in_range(points: DataFrame, ranges: DataFrame, at: str) -> DataFrame:
+    """Each point with the half-open range [lo, hi) that holds it, null if none does. Ranges are few by contract, as in as_of()."""
+    held = as_of(points, ranges, at, "lo")
+    return held.withColumns({c: F.when(F.col(at) < F.col("hi"), F.col(c)) for c in ranges.columns if c != "hi"}).withColumn("hi", F.when(F.col("lo").isNotNull(), F.col("hi")))
+
+
+def subset(lo: Column, hi: Column, of_lo: Column, of_hi: Column) -> Column:
+    """Whether [lo, hi) lies in [of_lo, of_hi)."""
+    return (lo >= of_lo) & (hi <= of_hi)

@@ -366,3 +366,68 @@ def m18_reproject(spark, sf_dir):
 def m17_subtract_shifted(spark, sf_dir):
     image = cut(gridded(spark, sf_dir).select("y", "x", F.col("gre").alias("val")), "image")
     return M.subtract_shifted(image, image, 3, 5, 0.5)
+
+
+@query(f"with {D.VIS} select bl, round(max(u / 2.99792458), 9) as u, round(max(v / 2.99792458), 9) as v, round(max(w / 2.99792458), 9) as w from vis group by all")
+def s2_wavelengths(spark, sf_dir):
+    """Greatest coordinates by baseline, in wavelengths at 100 MHz."""
+    vis = T.in_wavelengths(T.visibilities(spark, sf_dir), 1e8)
+    return vis.groupBy("bl").agg(*[F.round(F.max(c), 9).alias(c) for c in "uvw"])
+
+
+@query(f"with {D.VIS}, {D.GCF}, {D.pregrid()}, {D.inside()}, {D.grid('2.0', '-1.0')} select x, y, gre, gim, n from grid")
+def p2_constant(spark, sf_dir):
+    """The grid of visibilities set to one value."""
+    return G.grid(T.constant(points(spark, sf_dir), 2.0, -1.0), T.convolution_table(spark), SIZE)
+
+
+@query(f"with {D.VIS}, {D.GCF}, {D.pregrid()}, {D.inside()} select x, y, gre / 65536 + 0.0 as gre, gim / 65536 + 0.0 as gim from (select x + su as x, y + sv as y, sum(re * gr) as gre, sum(im * gi) as gim from pts join gcf using (ou, ov) where t % 4 = 2 group by all)")
+def p11_polarisation(spark, sf_dir):
+    """One polarisation of the four-polarisation grid, normalised; the filter goes below the aggregates."""
+    g = G.polarisation(a12_grid_simple(spark, sf_dir), 2, GRID)
+    return g.withColumns({"gre": F.col("gre") + 0.0, "gim": F.col("gim") + 0.0})
+
+
+@query(f"with {D.VIS}, s as (select *, cast(floor(u) as integer) + 128 as x, cast(floor(v) as integer) + 128 as y, least(30, 8 + 2 * cast(round(abs(w) / 25.0) as integer)) as support from vis) select support, count(*) as n from s where x >= 0 and y >= 0 and x < 256 - support and y < 256 - support group by all")
+def p9_in_bounds(spark, sf_dir):
+    """Points in bounds by the support of their w-plane."""
+    support = G.layer_support(F.round(F.abs("w") / WSTEP).cast("int"), 8, 2, 30)
+    placed = T.visibilities(spark, sf_dir).withColumns({"x": F.floor("u").cast("int") + 128, "y": F.floor("v").cast("int") + 128, "support": support})
+    return G.in_bounds_support(placed, GRID, "support").groupBy("support").agg(F.count("*").alias("n"))
+
+
+@query(f"with {D.gridded()}, c as (select i // 256 as y, i % 256 as x from range(65536) r(i)) select cast(c.y as integer) as y, cast(c.x as integer) as x, coalesce(gre, 0) as gre, coalesce(gim, 0) as gim from c left join grid on grid.x = c.x and grid.y = c.y")
+def m1_dense_grid(spark, sf_dir):
+    return M.dense(gridded(spark, sf_dir), GRID)
+
+
+@query(f"with {D.VIS}, {D.GCF.replace('/ 16.0 as gi', '/ -16.0 as gi')}, {D.pregrid()}, n as (select * from pre where w < 0), pts as (select * from n where x between 0 and 247 and y between 0 and 247), {D.grid()} select x, y, gre, gim, n from grid")
+def s8_conjugate_table(spark, sf_dir):
+    """Gridding of the negative w-range with the conjugate table; the filter on w reaches the scan."""
+    gcf = T.conjugated(T.convolution_table(spark), -200.0, 0.0)
+    return G.grid(points(spark, sf_dir).filter("w < 0"), gcf, SIZE)
+
+
+_RANGES = [(-100.0, -20.0, "low"), (-20.0, 35.0, "mid"), (60.0, 200.0, "high")]
+
+
+@query(f"with {D.VIS}, r(lo, hi, name) as (values {', '.join(f'({a}::double, {b}::double, {c!r})' for a, b, c in _RANGES)}) select name, count(*) as n, min(w) as w_min, max(w) as w_max from vis left join r on w >= lo and w < hi group by name")
+def j6_range_lookup(spark, sf_dir):
+    """Visibilities by the named w-range that holds them, null for none."""
+    ranges = spark.createDataFrame(_RANGES, "lo double, hi double, name string")
+    return R.in_range(T.visibilities(spark, sf_dir), ranges, "w").groupBy("name").agg(F.count("*").alias("n"), F.min("w").alias("w_min"), F.max("w").alias("w_max"))
+
+
+@query(f"with {D.VIS} select cast(floor(v / 16) as integer) as block_y, cast(floor(u / 16) as integer) as block_x, cast(floor((u - floor(u)) * 8) * 8 + floor((v - floor(v)) * 8) as integer) as sub, vis_id, u, v from vis")
+def o5_block_sort(spark, sf_dir):
+    """Points dealt by block and sorted within partitions by block and sub-cell."""
+    return B.sort_into_blocks(T.visibilities(spark, sf_dir), 16).select("block_y", "block_x", F.col("sub").cast("int").alias("sub"), "vis_id", "u", "v")
+
+
+@query(f"with {D.VIS}, r as (select least(0, min(w)) as lo, greatest(0, max(w)) as hi from vis), b as (select greatest(0, least(39, cast(floor((w - lo) / (hi + (hi - lo) * 1e-4 - lo) * 40) as integer))) as wbin, min(w) as w_low, count(*) as n from vis, r group by all) select greatest(0, least(3, cast(floor((w_low - lo) / (hi + (hi - lo) * 1e-4 - lo) * 4) as integer))) as part, count(*) as bins, cast(sum(n) as bigint) as n from b, r group by all")
+def f8_split_bins(spark, sf_dir):
+    """Forty w-bins split in four intervals of equal width by their low edge."""
+    vis = T.visibilities(spark, sf_dir)
+    ends = B.w_range(vis)
+    bins = vis.groupBy(B.w_bin(F.col("w"), *ends, 40).alias("wbin")).agg(F.min("w").alias("w_low"), F.count("*").alias("n"))
+    return B.split_bins(bins, "w_low", 4, ends).groupBy("part").agg(F.count("*").alias("bins"), F.sum("n").alias("n"))

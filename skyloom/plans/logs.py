@@ -144,3 +144,18 @@ def l2_glue(spark, sf_dir):
     )
     glued = L.glue(cut_up.select("log", "x.at", "x.value"))
     return glued.select((F.col("at") / 3).cast("long").alias("at"), "value")
+
+
+@query(
+    f"""with {_PAIRS} select pid, msg, count(*) as n, sum(scalar) as written, max(sse) as hint, cast(sum(stop - start) as bigint) as t,
+    sum(case when scalar > 50 then scalar else 0 end) as large from calls group by all"""
+)
+def l8_io_metrics(spark, sf_dir):
+    """Per processor and kernel: bytes by counter difference, the greatest hint, time, and what large transfers moved."""
+    return calls(spark, sf_dir).groupBy("pid", "msg").agg(
+        F.count("*").alias("n"),
+        F.sum("scalar").alias("written"),
+        F.max("sse").alias("hint"),
+        F.sum(F.col("stop") - F.col("start")).alias("t"),
+        F.sum(F.when(F.col("scalar") > 50, F.col("scalar")).otherwise(0.0)).alias("large"),
+    )

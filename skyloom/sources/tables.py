@@ -86,3 +86,27 @@ def select_visibilities(vis: DataFrame, first: int, last: int, baselines: int, p
     if first % points or last % points or not 0 <= first < last <= baselines * points:
         raise ValueError(f"range {first}..{last} isn't aligned to baselines of {points} points or is out of range")
     return vis.filter(F.col("bl").between(first // points, last // points - 1))
+
+
+#: Metres a second.
+LIGHT = 299792458.0
+
+
+def in_wavelengths(vis: DataFrame, hertz: float) -> DataFrame:
+    """Coordinates in metres as wavelengths at a frequency."""
+    return vis.withColumns({c: F.col(c) * (hertz / LIGHT) for c in "uvw"})
+
+
+def conjugated(gcf: DataFrame, low: float, high: float) -> DataFrame:
+    """A table for the w-range [low, high): conjugated where the range lies further on the negative side."""
+    return gcf.withColumn("gi", -F.col("gi")) if low < -high else gcf
+
+
+def write_ordered(vis: DataFrame, path: str) -> None:
+    """Store visibilities dealt by baseline and ordered by (bl, t) within each file, the order gridders read in."""
+    vis.repartition("bl").sortWithinPartitions("bl", "t").write.parquet(path)
+
+
+def constant(vis: DataFrame, re: float, im: float) -> DataFrame:
+    """All visibilities at one value; (1, 0) gives the point spread function."""
+    return vis.withColumns({"re": F.lit(re), "im": F.lit(im)})
