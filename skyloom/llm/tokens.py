@@ -75,7 +75,7 @@ class WordEncoder:
         words, other, parted = set(), set(), []
         for w in missing:
             stem = w.rstrip(MARKS)
-            if stem.isalpha():
+            if stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):  # no mark at its end
                 if stem not in self.kept:
                     words.add(stem)
                 if len(stem) < len(w):

@@ -24,7 +24,7 @@ def ids_of(text):
     return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aAbzZéÉßΣσİı̱́HK .,;'!?1٣\n\t\r\x0b\x1c\xa0 <|>중"), max_size=30), max_size=6))
 def test_pieces_encode_like_whole_texts(texts):
     got = [np.frombuffer(b, "<u4").tolist() for b in word_encoder(PATH).encode(texts)]
