@@ -1,12 +1,14 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, verified links, connected components.
 
-A fingerprint has 64 bits. Two that differ in at most ``radius`` = 2 bits agree in one of three blocks, so equal
-fingerprints are folded first, the distinct ones joined on (block, value), and the pairs' Hamming distance verified.
+A fingerprint has 64 bits, split into b blocks. Two that differ in at most RADIUS = 2 bits agree in all but two blocks at
+most, so in one choice of b - 2 of them. Equal fingerprints are folded first, the distinct ones joined on (choice, value of
+its bits), and the pairs' Hamming distance verified. Three blocks (3 choices of 21 bits) do for millions of fingerprints;
+more take four (6 choices of 32 bits) or six (15 choices of 42 bits), so that groups stay small; each finds the same links.
 
-A block value that many distinct fingerprints share would give a square of pairs. Groups over ``GROUP`` members are dealt
-anew instead: each member is sent to itself and to its neighbours at one bit outside the block. Members that meet at such
-a point differ in at most two bits, any two that differ in one or two bits meet at one, and no more than 44 can meet at
-one; linking each to the smallest there loses no link between components and makes no pairs.
+A value that many distinct fingerprints share would give a square of pairs. Groups over GROUP members are dealt anew
+instead: each member is sent to itself and to its neighbours at one bit outside the choice. Members that meet at such a
+point differ in at most two bits, any two that differ in one or two bits meet at one, and no more than 44 can meet at one;
+linking each to the smallest there loses no link between components and makes no pairs.
 
 Defined results: a null or blank text has fingerprint zero; equal fingerprints are always one component; a null id takes
 part but never names a component unless all its ids are null; an empty table gives an empty result.
@@ -15,20 +17,21 @@ part but never names a component unless all its ids are null; an empty table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import components
 from skyloom.session import cut
 
-#: (first bit, width) of the blocks; radius 2 needs three.
-BLOCKS = ((0, 21), (21, 21), (42, 22))
 RADIUS = 2
-#: Members of a block's group up to which its pairs are compared directly.
+#: Distinct fingerprints up to which so many blocks are used.
+BLOCKS = ((16_000_000, 3), (30_000_000_000, 4), (float("inf"), 6))
+#: Members of a group up to which its pairs are compared directly.
 GROUP = 32
 SEED = 42
 #: Shingle hashes whose bits are unpacked at once.
@@ -105,33 +108,42 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_rows(width), "id long, fp long")
 
 
-def _block(fp: Column, start: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
+def choices(blocks: int) -> list[int]:
+    """Bit masks of every choice of all but RADIUS of the blocks."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [(1 << z) - (1 << a) for a, z in zip(edges, edges[1:])]
+    return [_signed(sum(some)) for some in combinations(masks, blocks - RADIUS)]
+
+
+def near_links(distinct: DataFrame, blocks: int | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp`` that differ in one or two bits; enough of them to connect all such pairs."""
+    if blocks is None:
+        n = distinct.count()
+        blocks = next(b for most, b in BLOCKS if n <= most)
     fp = F.col("fp")
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("b"), _block(fp, *at).alias("key")) for i, at in enumerate(BLOCKS)])).alias("k")).select(
-        "fp", "k.b", "k.key"
+    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), fp.bitwiseAND(F.lit(m)).alias("key")) for m in choices(blocks)])).alias("k")).select(
+        "fp", "k.mask", "k.key"
     )
-    sizes = keyed.groupBy("b", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(keyed.join(sizes, ["b", "key"]), "blocks")
-    small = shared.filter(F.col("n") <= GROUP).select("b", "key", "fp")
+    sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(keyed.join(sizes, ["mask", "key"]), "blocks")
+    small = shared.filter(F.col("n") <= GROUP).select("mask", "key", "fp")
     pairs = (
         small.alias("x")
-        .join(small.alias("y"), ["b", "key"])
+        .join(small.alias("y"), ["mask", "key"])
         .filter("x.fp < y.fp")
         .filter(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
         .select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
     )
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(np.uint64(1 << i).astype(np.int64).item()) for i in range(64)])
-    inside = F.element_at(F.array(*[F.lit(np.uint64(((1 << w) - 1) << s).astype(np.int64).item()) for s, w in BLOCKS]), F.col("b") + 1)
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
     points = (
         shared.filter(F.col("n") > GROUP)
-        .select("b", "key", "fp", F.explode(flips).alias("flip"), inside.alias("inside"))
-        .filter(F.col("flip").bitwiseAND(F.col("inside")) == 0)
-        .groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "b")
+        .select("mask", "fp", F.explode(flips).alias("flip"))
+        .filter(F.col("flip").bitwiseAND(F.col("mask")) == 0)
+        .groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "mask")
         .agg(F.min("fp").alias("u"), F.collect_list("fp").alias("all"))
         .filter(F.size("all") > 1)
         .select("u", F.explode("all").alias("v"))

@@ -99,8 +99,8 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-@pytest.mark.parametrize("group", [2, 32])
-def test_links_connect_all_close_fingerprints(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "blocks"), [(2, 3), (32, 3), (2, 4), (32, 6), (32, None)])
+def test_links_connect_all_close_fingerprints(spark, monkeypatch, group, blocks):
     monkeypatch.setattr(S, "GROUP", group)
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -113,7 +113,7 @@ def test_links_connect_all_close_fingerprints(spark, monkeypatch, group):
     close = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 2]
     to = dict(zip(prints, signed))
     want = brute_components(signed, [(to[a], to[b]) for a, b in close])
-    got = {r["node"]: r["label"] for r in components(S.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"))).collect()}
+    got = {r["node"]: r["label"] for r in components(S.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), blocks)).collect()}
     assert {n: got.get(n, n) for n in signed} == want
 
 
