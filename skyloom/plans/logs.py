@@ -126,7 +126,7 @@ def l19_bandwidth(spark, sf_dir):
     return c.groupBy("pid").agg(F.count("*").alias("n"), F.round(F.avg(F.col("scalar") / (F.col("stop") - F.col("start"))), 6).alias("per_ms"))
 
 
-@query(f"with {LOG} select event_id as at, concat(start, ': cap ', pid, ': START [scalar=', scalar0, '] [sse=', sse0, '] ', msg) as value from log join events using (event_id)")
+@query(f"with {LOG} select event_id as line, concat(start, ': cap ', pid, ': START [scalar=', scalar0, '] [sse=', sse0, '] ', msg) as value from log join events using (event_id)")
 def l2_glue(spark, sf_dir):
     """Log lines whose message was split in three, put together again."""
     e = table(spark, sf_dir, "events")
@@ -143,7 +143,7 @@ def l2_glue(spark, sf_dir):
         ).alias("x"),
     )
     glued = L.glue(cut_up.select("log", "x.at", "x.value"))
-    return glued.select((F.col("at") / 3).cast("long").alias("at"), "value")
+    return glued.select((F.col("at") / 3).cast("long").alias("line"), "value")
 
 
 @query(
