@@ -212,7 +212,13 @@ def x6_shares(spark, sf_dir):
     return R.shares(weights, "item", "weight", 1000)
 
 
-@query()
+@query(
+    """with w as (select n_regionkey as region, count(*) as n from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey group by all),
+    l as (select list(region order by region) as r, list(n order by region) as n from w),
+    k as (select [a, b, c, d, 16 - a - b - c - d] as k from range(1, 13) x1(a), range(1, 13) x2(b), range(1, 13) x3(c), range(1, 13) x4(d) where a + b + c + d < 16),
+    best as (select r, n, k from l, k order by list_max(list_transform(range(1, 6), lambda i: n[i] / k[i])), k limit 1)
+    select r[i] as region, n[i] as n, k[i] as nodes, n[i] / k[i] as span from best, range(1, 6) x(i)"""
+)
 def x5_balance(spark, sf_dir):
     """Sixteen nodes for the five regions, so that the greatest number of orders per node is least."""
     customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")), "c_nationkey")

@@ -355,11 +355,48 @@ _SYSTEM = {"ref": (0.3, 0.5), "at": (128.0, 128.0), "cd": [[-0.002, 0.0], [0.0,
 _OTHER = {"ref": (0.302, 0.501), "at": (128.0, 128.0), "cd": [[-0.0019, 0.0001], [0.0001, 0.0019]]}
 
 
-@query()
+def _world(x: str, y: str, ref, at, cd) -> tuple[str, str]:
+    """SQL of the sky position of a pixel."""
+    dx, dy = f"({x} - {at[0]!r})", f"({y} - {at[1]!r})"
+    xi, eta = f"({cd[0][0]!r} * {dx} + {cd[0][1]!r} * {dy})", f"({cd[1][0]!r} * {dx} + {cd[1][1]!r} * {dy})"
+    down = f"(cos({ref[1]!r}) - {eta} * sin({ref[1]!r}))"
+    return f"({ref[0]!r} + atan2({xi}, {down}))", f"atan2(sin({ref[1]!r}) + {eta} * cos({ref[1]!r}), sqrt({xi} * {xi} + {down} * {down}))"
+
+
+def _pixel(lon: str, lat: str, ref, at, cd) -> tuple[str, str]:
+    """SQL of the pixel of a sky position."""
+    dl = f"({lon} - {ref[0]!r})"
+    depth = f"(sin({lat}) * sin({ref[1]!r}) + cos({lat}) * cos({ref[1]!r}) * cos({dl}))"
+    xi = f"(cos({lat}) * sin({dl}) / {depth})"
+    eta = f"((sin({lat}) * cos({ref[1]!r}) - cos({lat}) * sin({ref[1]!r}) * cos({dl})) / {depth})"
+    det = cd[0][0] * cd[1][1] - cd[0][1] * cd[1][0]
+    return f"({at[0]!r} + {cd[1][1] / det!r} * {xi} - {cd[0][1] / det!r} * {eta})", f"({at[1]!r} + {cd[0][0] / det!r} * {eta} - {cd[1][0] / det!r} * {xi})"
+
+
+_LON, _LAT = _world("x", "y", **_OTHER)
+_SX, _SY = _pixel("lon", "lat", **_SYSTEM)
+
+
+@query(f"{_IMG}, w as (select x, y, {_LON} as lon, {_LAT} as lat from grid) select x, y, round(lon, 9) as lon, round(lat, 9) as lat, round({_SX}, 6) as px, round({_SY}, 6) as py from w")
+def p19_world_pixel(spark, sf_dir):
+    """Sky position of every grid cell in one system, and its pixel in another."""
+    g = gridded(spark, sf_dir).select("x", "y")
+    lon, lat = sky.pixel_to_world(F.col("x").cast("double"), F.col("y").cast("double"), **_OTHER)
+    px, py = sky.world_to_pixel(lon, lat, **_SYSTEM)
+    return g.select("x", "y", F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"), F.round(px, 6).alias("px"), F.round(py, 6).alias("py"))
+
+
+@query(
+    f"""{_IMG}, o as (select cast(i // 256 as integer) as y, cast(i % 256 as integer) as x from range(65536) r(i)), w as (select x, y, {_LON} as lon, {_LAT} as lat from o),
+    s as (select x, y, {_SX} as sx, {_SY} as sy from w), c as (select x, y, cast(floor(sx) as integer) + i as ix, cast(floor(sy) as integer) + j as iy,
+    (case i when 1 then sx - floor(sx) else 1 - (sx - floor(sx)) end) * (case j when 1 then sy - floor(sy) else 1 - (sy - floor(sy)) end) as weight from s, range(2) a(i), range(2) b(j))
+    select c.y, c.x, round(sum(weight * coalesce(gre, 0)) + {OFF_TIES}, 4) + 0.0 as val from c left join grid on grid.x = ix and grid.y = iy group by c.y, c.x"""
+)
 def m18_reproject(spark, sf_dir):
     """The gridded image resampled to another tangent-plane system."""
     image = gridded(spark, sf_dir).select("y", "x", F.col("gre").alias("val"))
-    return M.reproject(image, GRID, lambda x, y: sky.world_to_pixel(*sky.pixel_to_world(x, y, **_OTHER), **_SYSTEM))
+    out = M.reproject(image, GRID, lambda x, y: sky.world_to_pixel(*sky.pixel_to_world(x, y, **_OTHER), **_SYSTEM))
+    return out.withColumn("val", F.round(F.col("val") + OFF_TIES, 4) + 0.0)
 
 
 @query(f"{_IMG}, p as (select y + 3 as y, x + 5 as x, gre as p from grid) select grid.y, grid.x, gre - 0.5 * coalesce(p, 0) as val from grid left join p on p.y = grid.y and p.x = grid.x")
