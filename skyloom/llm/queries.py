@@ -139,10 +139,10 @@ select *, strlen(block) as content_length, {_sql_digest("block")} as block_diges
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as mails: each message quotes the one before it and, one level deeper, the one before that."""
     said = table(spark, sf_dir, "conversations")
-    first = said.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
-    one = first.select(F.col("conv_id").alias("c1"), (F.col("turn") + 1).alias("t1"), F.concat(F.lit("> "), F.replace("said", F.lit("\n"), F.lit("\n> ")), F.lit("\n")).alias("q1"))
-    two = first.select(F.col("conv_id").alias("c2"), (F.col("turn") + 2).alias("t2"), F.concat(F.lit(">> "), F.replace("said", F.lit("\n"), F.lit("\n>> ")), F.lit("\n")).alias("q2"))
-    both = said.join(one, (F.col("conv_id") == F.col("c1")) & (F.col("turn") == F.col("t1")), "left").join(two, (F.col("conv_id") == F.col("c2")) & (F.col("turn") == F.col("t2")), "left")
+    quoted = lambda by, mark, name: said.groupBy(F.col("conv_id"), (F.col("turn") + by).alias("turn")).agg(
+        F.concat(F.lit(mark), F.replace(F.min("text"), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n")).alias(name)
+    )
+    both = said.join(quoted(1, "> ", "q1"), ["conv_id", "turn"], "left").join(quoted(2, ">> ", "q2"), ["conv_id", "turn"], "left")
     none = F.lit("")
     return both.select("conv_id", "turn", "role", F.concat(F.coalesce("q2", none), F.coalesce("q1", none), F.coalesce("text", none)).alias("text"))
 

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.session import cut
+
 RANGE = 256
 QUOTE = r"^((?: ?>)+) ?"
 
@@ -45,44 +47,47 @@ def parse(messages: DataFrame) -> DataFrame:
     return lined.withColumn("own", F.regexp_replace(own, r"^\s+|\s+$", ""))
 
 
-def passages(parsed: DataFrame) -> DataFrame:
-    """(uid, conv_id, turn, passage, level, words): each quoted run of lines."""
-    quoted = parsed.filter(F.exists("lines", lambda x: x["level"] > 0)).dropDuplicates(["uid"])
-    lines = quoted.select("uid", "conv_id", "turn", F.posexplode("lines").alias("at", "line")).select("uid", "conv_id", "turn", "at", "line.level", "line.words")
-    before = F.lag("level").over(Window.partitionBy("uid").orderBy("at"))
-    started = lines.withColumn("new", F.when(before == F.col("level"), 0).otherwise(1))
-    run = F.sum("new").over(Window.partitionBy("uid").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    runs = started.withColumn("passage", run).filter("level > 0")
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]), "\n")
-    return runs.groupBy("uid", "conv_id", "turn", "passage", "level").agg(texts.alias("words"))
+def passages(lines: Column) -> Column:
+    """Array of (level, words): each run of lines of one level above 0, in order; taken within the row, so nothing moves."""
+    level = lambda i: F.element_at(lines, i)["level"]
+    n = F.size(lines)
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (level(i) != level(F.greatest(i - 1, F.lit(1)))))
+    ends = F.concat(F.slice(starts, F.lit(2), n), F.array(n + 1))
+    runs = F.zip_with(
+        starts, ends, lambda a, z: F.struct(level(a).alias("level"), F.array_join(F.transform(F.slice(lines, a, z - a), lambda x: x["words"]), "\n").alias("words"))
+    )
+    return F.filter(runs, lambda r: r["level"] > 0)
 
 
 def units(words: Column) -> Column:
-    """Array of (whole, size, hash) of a text as a whole and of its lines, blank ones left out."""
+    """Array of (whole, size, hash) of a text as a whole and of its lines, blank ones left out; the hash has 64 bits, and only
+    meets those of its own conversation."""
     whole = F.array(F.struct(F.lit(1).alias("whole"), normal(words).alias("u")))
     each = F.transform(F.split(words, "\n"), lambda x: F.struct(F.lit(0).alias("whole"), normal(x).alias("u")))
-    return F.transform(F.filter(F.concat(whole, each), lambda x: x["u"] != ""), lambda x: F.struct(x["whole"].alias("whole"), F.length(x["u"]).alias("size"), F.sha2(x["u"], 256).alias("hash")))
+    return F.transform(F.filter(F.concat(whole, each), lambda x: x["u"] != ""), lambda x: F.struct(x["whole"].alias("whole"), F.length(x["u"]).alias("size"), F.xxhash64(x["u"]).alias("hash")))
 
 
 def links(parsed: DataFrame) -> DataFrame:
     """(uid, passage, level, original): the turn that each linked passage is first found in."""
     known = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(units(F.col("own"))).alias("x"))
     first = known.groupBy("conv_id", F.col("x.hash").alias("hash")).agg(F.min("turn").alias("original"))
-    asked = passages(parsed).select("uid", "conv_id", "turn", "passage", "level", F.explode(units(F.col("words"))).alias("x")).select("uid", "conv_id", "turn", "passage", "level", "x.*")
+    quoted = parsed.filter(F.size("passages") > 0).select("uid", "conv_id", "turn", F.posexplode("passages").alias("passage", "p"))
+    asked = quoted.select("uid", "conv_id", "turn", "passage", "p.level", F.explode(units(F.col("p.words"))).alias("x")).select("uid", "conv_id", "turn", "passage", "level", "x.*")
     hits = asked.join(first, ["conv_id", "hash"]).filter("original < turn")
-    best = F.max(F.struct("whole", "size", F.col("original").alias("original")))
+    best = F.max(F.struct("whole", "size", "original"))
     return hits.groupBy("uid", "passage", "level").agg(best.alias("b")).select("uid", "passage", "level", "b.original")
 
 
 def places(messages: DataFrame) -> DataFrame:
-    """Adds place, from 0, of each message in its conversation by turn, role and text."""
-    ranged = messages.withColumn("range", F.floor(F.col("turn") / RANGE))
-    counts = ranged.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("range")).rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), F.coalesce(before, F.lit(0)).alias("base"))
-    at = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(F.asc_nulls_first("turn"), "role", "own", "uid")) - 1
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("range").eqNullSafe(F.col("r"))
-    return ranged.withColumn("at", at).join(base, same).withColumn("place", (F.col("base") + F.col("at")).cast("long"))
+    """Adds place, from 0, of each message in its conversation by turn, role and text. The messages move once."""
+    none = F.lit(-(1 << 63))
+    keys = {"ck": F.coalesce("conv_id", none), "cn": F.isnull("conv_id"), "rk": F.coalesce(F.floor(F.col("turn") / RANGE), none)}
+    ranged = messages.withColumns(keys)
+    counts = messages.select("conv_id", "turn").withColumns(keys).groupBy("ck", "cn", "rk").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("ck", "cn").orderBy("rk").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select("ck", "cn", "rk", F.coalesce(before, F.lit(0)).alias("base"))
+    at = F.row_number().over(Window.partitionBy("ck", "cn", "rk").orderBy(F.asc_nulls_first("turn"), "role", "own", "uid")) - 1
+    return ranged.withColumn("at", at).join(base, ["ck", "cn", "rk"]).withColumn("place", (F.col("base") + F.col("at")).cast("long"))
 
 
 def link_quotes(conversations: DataFrame) -> DataFrame:
@@ -91,12 +96,11 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
     reply_to is the turn that the message answers; quotes and linked count its quoted passages; depth is its deepest quote.
     """
     messages = conversations.select("conv_id", "turn", "role", "text").withColumn("uid", F.xxhash64("conv_id", "turn", "role", "text"))
-    parsed = parse(messages)
+    parsed = cut(parse(messages).select("uid", "conv_id", "turn", "role", "own", passages(F.col("lines")).alias("passages")), "parsed")
     found = links(parsed).groupBy("uid").agg(
         F.max(F.struct((-F.col("level")).alias("near"), "original")).alias("b"), F.countDistinct("passage").alias("linked")
-    ).select(F.col("uid").alias("u"), F.col("b.original").alias("reply_to"), "linked")
-    levels = F.transform("lines", lambda x: x["level"])
-    runs = F.size(F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (F.element_at(levels, i) > 0) & ((i == 1) | (F.element_at(levels, i) != F.element_at(levels, F.greatest(i - 1, F.lit(1)))))))
-    counted = parsed.select("uid", "conv_id", "turn", "role", "own", runs.alias("quotes"), F.array_max(levels).alias("depth"))
-    linked = places(counted).join(found, F.col("uid") == F.col("u"), "left")
-    return linked.select("conv_id", "place", "turn", "role", F.col("own").alias("text"), "reply_to", F.col("quotes").cast("long").alias("quotes"), F.coalesce("linked", F.lit(0)).cast("long").alias("linked"), F.col("depth").cast("long").alias("depth"))
+    ).select("uid", F.col("b.original").alias("reply_to"), "linked")
+    depth = F.coalesce(F.array_max(F.transform("passages", lambda x: x["level"])), F.lit(0))
+    counted = parsed.select("uid", "conv_id", "turn", "role", "own", F.size("passages").cast("long").alias("quotes"), depth.cast("long").alias("depth"))
+    linked = places(counted).join(found, "uid", "left")
+    return linked.select("conv_id", "place", "turn", "role", F.col("own").alias("text"), "reply_to", "quotes", F.coalesce("linked", F.lit(0)).cast("long").alias("linked"), "depth")
