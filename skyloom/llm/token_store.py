@@ -29,7 +29,7 @@ from skyloom.llm.tokens import word_encoder
 CHUNK_DOCS, CHUNK_IDS = 4096, 1 << 16
 #: One-bits of ``high`` between two marks.
 EVERY = 64
-TEXTS = 250
+TEXTS = 1000
 
 CHUNK = "shard int, chunk int, before long, doc_ids array<long>, n_ids long, width int, ids binary, low_bits int, low binary, high binary, marks binary"
 

@@ -11,10 +11,12 @@ import base64
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 
-#: Pieces that an encoder keeps.
+#: Pieces that an encoder keeps in each of two generations: the current one, and the one before, from which what is met
+#: again moves over; so frequent pieces stay and rare ones go.
 KEEP = 300_000
 #: Marks that may end a word; a word and a run of these are separate pre-tokens.
 MARKS = ".,;:!?"
@@ -26,30 +28,44 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: For words of lower-case letters in composed form, which no normaliser changes and no pre-tokeniser splits.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.size = max(vocab.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str | None) -> list[str]:
         """The text between white space; A-Z in lower case where that can't change what the tokenizer's own steps give."""
-        text = (text or "").encode("utf-8", "replace").decode("utf-8")
+        text = text or ""
         if text.isascii():
             text = text.lower()
-        elif unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low := text.encode().lower().decode()):
+        elif unicodedata.is_normalized("NFC", text := text.encode("utf-8", "replace").decode("utf-8")) and unicodedata.is_normalized("NFC", low := text.encode().lower().decode()):
             text = low
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        for white in "\n\t\r":
+            if white in text:
+                text = text.replace(white, " ")
+        return text.split(" ")
 
-    def _encode_words(self, words: list[str]) -> None:
+    def _encode_words(self, words: set[str]) -> None:
         """Words of letters only: many in one call, told apart by the ids that end a word."""
+        plain = [w for w in words if w.islower() and (w.isascii() or w == w.lower() and unicodedata.is_normalized("NFC", w))]
+        self._encode_joined(plain, self.plain)
+        self._encode_joined(list(words.difference(plain)), self.tokenizer)
+
+    def _encode_joined(self, words: list[str], tokenizer) -> None:
         for a in range(0, len(words), 2000):
             some = words[a : a + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(some) and last[-1] == len(ids):
                 data, at = ids.astype("<u4").tobytes(), 0
@@ -66,26 +82,33 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
-        wanted: set[str] = set()
+        if len(self.kept) > KEEP:
+            self.before, self.kept = self.kept, {"": b""}
+        missing: set[str] = set()
+        known = self.kept.__contains__
         for p in split:
-            wanted.update(p)
-        if len(self.kept) + len(wanted) > KEEP:
-            self.kept = {"": b""}
-        missing = wanted.difference(self.kept)
+            missing.update(filterfalse(known, p))
         words, other, parted = set(), set(), []
-        for w in missing:
+        if self.before:
+            again = missing.intersection(self.before)
+            self.kept.update(zip(again, map(self.before.__getitem__, again)))
+            missing -= again
+        words.update(filter(str.isalpha, missing))
+        for w in missing.difference(words):
             stem = w.rstrip(MARKS)
             if stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):  # no mark at its end
+                tail = w[len(stem) :]
+                parted.append((w, stem, tail))
                 if stem not in self.kept:
-                    words.add(stem)
-                if len(stem) < len(w):
-                    tail = w[len(stem) :]
-                    parted.append((w, stem, tail))
-                    if tail not in self.kept:
-                        other.add(tail)
+                    if stem in self.before:
+                        self.kept[stem] = self.before[stem]
+                    else:
+                        words.add(stem)
+                if tail not in self.kept:
+                    other.add(tail)
             else:
                 other.add(w)
-        self._encode_words(list(words))
+        self._encode_words(words)
         if other:
             self._encode_each(list(other))
         for w, stem, tail in parted:
