@@ -22,6 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.session import cut
+
 #: log2 of the bits in a slice of the filter, the unit in which parts of it are merged.
 SLICE_BITS = 20
 #: Cells that a hash sets.
@@ -119,10 +121,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "row", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     again = flagged.filter("maybe").withColumn("uid", F.monotonically_increasing_id())
-    groups = again.groupBy("text_sha256").agg(
-        F.min(F.struct(F.isnull("id").alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))).alias("first"), F.count("*").alias("group_size")
-    )
-    seen = again.join(groups, "text_sha256").select(
-        "row", "id", F.col("first.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256"
-    )
+    ids = again.groupBy("text_sha256", "id").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
+    groups = ids.groupBy("text_sha256").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "n", "uid")).alias("first"), F.sum("n").alias("group_size"))
+    groups = cut(groups, "groups")  # so that the join shuffles both sides itself, and can split a large group of copies
+    only = F.col("id").eqNullSafe(F.col("first.id")) & ((F.col("first.n") == 1) | (F.col("uid") == F.col("first.uid")))  # uid decides among repeats of one id alone
+    seen = again.join(groups, "text_sha256").select("row", "id", F.col("first.id").alias("keep_id"), "group_size", only.alias("kept"), "text_sha256")
     return alone.unionByName(seen)
