@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.tokens import byte_encoder
+from skyloom.session import cut
 
-WIDTH = 1024
+WIDTH = 64
 
 
 def _lengths(path: str, pattern: str):
@@ -42,6 +43,7 @@ def context_totals(counts: DataFrame) -> DataFrame:
     """For a context limit at each length that occurs: docs_longer, docs_fitting, total_tokens, kept_tokens when every longer
     document is truncated to the limit, lost_tokens, and quantile, the share of documents that fit. Between two such
     limits docs_longer is constant and kept_tokens grows by docs_longer per token, so the rows answer every limit."""
+    counts = cut(counts, "lengths")  # read twice below, encoded once
     own = counts.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / WIDTH).alias("range"))
     above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     ranges = own.groupBy("range").agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("toks"))
