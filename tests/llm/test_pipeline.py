@@ -4,10 +4,12 @@ import math
 import random
 import re
 
+import numpy as np
 import pandas as pd
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from skyloom.llm import near_copies as N
 from skyloom.llm import simhash as S
 
 from test_dedup import brute_components
@@ -82,3 +84,37 @@ def test_registered():
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in names if q.startswith("op")}
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def near_corpus(spark):
+    """Texts of 40 to 400 words and copies with a few words changed, some of them of one text."""
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for n in [40, 80, 200, 400] * 15:
+        own = text(n)
+        for changes in (0, 1, n // 80 + 1, n // 40 + 1):
+            copy = list(own)
+            for _ in range(changes):
+                copy[rng.randrange(n)] = "changed"
+            texts.append(" ".join(copy))
+    own = text(200)
+    for _ in range(60):  # more than are compared pair by pair
+        copy = list(own)
+        for _ in range(rng.randrange(5)):
+            copy[rng.randrange(200)] = f"v{rng.randrange(99)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_near_copies_match_brute_force(spark):
+    texts = near_corpus(spark)
+    sets = [N.shingle_set(t) for t in texts]
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    label = brute_components(set(range(len(texts))), want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["component_id"] for r in N.near_components(docs, "doc_id").collect()}
+    assert {i: got.get(i, i) for i in label} == label
+    kept = corpus_pipeline.near(spark, docs, "").collect()
+    assert {r["doc_id"] for r in kept} == {i for i in label if label[i] == i}
