@@ -2,7 +2,10 @@
 
 Per language, a suffix automaton holds every substring of a bounded reference text made of labelled documents. A text is
 cross-parsed against it: the longest match with the reference is one phrase, then parsing goes on behind it. The language
-whose reference parses the text into the fewest phrases, normalised by the text's length and the entropy of a phrase, wins.
+whose reference parses the text into the fewest bits wins. A phrase costs the logarithm of its own reference's length, so a
+label with little text has longer parses but takes nothing from the others; it never costs less than a symbol written out.
+A symbol that the reference lacks costs as much as a phrase of the longest reference, or a label of a few letters would
+parse everything cheaply.
 
 The automaton is completed into a table: a missing transition leads to where the symbol leads from the root and carries a
 flag, "a new phrase starts here". Many texts walk the tables in step, so a symbol costs a few numpy operations.
@@ -26,8 +29,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Symbols of reference text per language, and the labelled documents at most that they are taken from. Bounds of the sample.
-REFERENCE, SAMPLE_DOCS = 20_000, 200
+#: Symbols of reference text per language. Bound of the sample.
+REFERENCE = 20_000
 #: Letters that have a symbol of their own; all others share one.
 LETTERS = 250
 SEGMENT = 512
@@ -46,6 +49,7 @@ class Model:
     table: np.ndarray  # (state * width + symbol) -> state * width << 1 | a new phrase starts
     roots: np.ndarray  # the place of each language's root row
     costs: np.ndarray  # bits of a phrase, per language
+    lacks: np.ndarray | None = None  # (symbol, language) -> bits more that a symbol costs that the reference lacks; None if none does
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -96,18 +100,20 @@ def symbols_of(points: np.ndarray, table: np.ndarray) -> np.ndarray:
     return s[(s != SPACE) | np.r_[True, s[:-1] != SPACE]]
 
 
-def build_model(samples: dict[str, list[str]]) -> Model:
-    """Automata of the sampled texts of each language, all cut to one length so that none has more to match."""
+def build_model(samples: dict[str, list[str]], one_length: bool = True) -> Model:
+    """Automata of the sampled texts of each language: cut to one length so that none has more to match, or each at its own."""
     samples = {k: samples[k] for k in sorted(samples)}
     symbols = symbol_table([t for texts in samples.values() for t in texts])
     refs = {k: symbols_of(code_points(" ".join(texts)), symbols)[:REFERENCE] for k, texts in samples.items()}
     refs = {k: r for k, r in refs.items() if (r != SPACE).any()}
     width = 1 + max([int(r.max()) for r in refs.values()], default=0)
     symbols = np.where(symbols < width, symbols, OTHER).astype(np.uint8)
-    least = min(map(len, refs.values()), default=0)
+    if one_length:
+        least = min(map(len, refs.values()), default=0)
+        refs = {k: r[:least] for k, r in refs.items()}
     tables, roots, at = [], [], 0
     for r in refs.values():
-        nexts = suffix_automaton(r[:least].tobytes())
+        nexts = suffix_automaton(r.tobytes())
         full = np.full((len(nexts), width), -1, np.int64)
         for state, row in enumerate(nexts):
             full[state, list(row)] = list(row.values())
@@ -118,9 +124,14 @@ def build_model(samples: dict[str, list[str]]) -> Model:
         tables.append((((at + full) * width) << 1 | missing).ravel())
         roots.append(at * width << 1)
         at += len(nexts)
-    costs = np.full(len(refs), np.log2(max(2, least)))
+    sizes = np.array([max(2, len(r)) for r in refs.values()])
+    most = sizes.max(initial=2)
+    costs = np.log2(sizes if sizes.min(initial=most) == most else np.maximum(sizes, min(width, most)))
+    lacks = None
+    if (costs < np.log2(most)).any():
+        lacks = np.stack([np.where(np.bincount(r, minlength=width) == 0, np.log2(most) - c, 0.0) for r, c in zip(refs.values(), costs)], axis=1)
     kind = np.int32 if at * width < 1 << 30 else np.int64
-    return Model(list(refs), symbols, np.concatenate(tables).astype(kind) if tables else np.zeros(0, kind), np.array(roots, kind), costs)
+    return Model(list(refs), symbols, np.concatenate(tables).astype(kind) if tables else np.zeros(0, kind), np.array(roots, kind), costs, lacks)
 
 
 def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -164,7 +175,10 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
             symbols.append(symbols_of(code_points(texts[known[at]]), model.symbols))
             held += len(symbols[-1])
             at += 1
-        bits = phrases(model, symbols) * model.costs / np.fromiter(map(len, symbols), np.float64, len(symbols))[:, None]
+        bits = phrases(model, symbols) * model.costs
+        if model.lacks is not None:
+            bits += np.stack([np.bincount(s, minlength=len(model.lacks)) for s in symbols]) @ model.lacks
+        bits /= np.fromiter(map(len, symbols), np.float64, len(symbols))[:, None]
         best = bits.argmin(axis=1)
         low = bits[np.arange(len(some)), best]
         others = bits.copy()
@@ -178,18 +192,26 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """Texts to learn from: of each label, the SAMPLE_DOCS documents outside the held-out fifth that come first by hash of their id,
-    each cut to REFERENCE characters; so the driver gets a bounded text per language."""
+    """Texts to learn from, as words: of each label, the documents with a letter outside the held-out fifth that come first by
+    hash of their id, as many as REFERENCE symbols take, each cut to REFERENCE; so the driver gets a bounded text per language.
+
+    Hashes are halved until half of what is left would hold too little, so that only a bounded number of documents is sorted."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         "id is not null and lang is not null and text is not null"
     )
-    learn = labelled.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    first = learn.select("lang", "id", F.substring("text", 1, REFERENCE).alias("text")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
-    need = Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    enough = first.withColumn("before", F.coalesce(F.sum(F.length("text")).over(need), F.lit(0))).filter(F.col("before") < 2 * REFERENCE)
+    learn = labelled.filter((F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0) & F.col("text").rlike(r"\p{L}"))
+    words = learn.select("lang", "id", F.xxhash64("id").alias("h"), F.substring(F.regexp_replace("text", r"\P{L}+", " "), 1, REFERENCE).alias("text"))
+    place = F.col("h") / 2.0**64 + 0.5
+    words = words.withColumn("level", F.least(F.lit(60), F.floor(-F.log2(F.greatest(place, F.lit(2.0**-61)))).cast("int")))
+    held = words.groupBy("lang", "level").agg(F.sum(F.length("text")).alias("symbols"))
+    down = Window.partitionBy("lang").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    enough = held.withColumn("symbols", F.sum("symbols").over(down)).groupBy("lang")
+    least = enough.agg(F.coalesce(F.max(F.when(F.col("symbols") >= 2 * REFERENCE, F.col("level"))), F.lit(0)).alias("least"))
+    some = words.join(F.broadcast(least), "lang").filter("level >= least")  # a row per language, as the model has
+    need = Window.partitionBy("lang").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
+    first = some.withColumn("before", F.coalesce(F.sum(F.length("text")).over(need), F.lit(0))).filter(F.col("before") < 2 * REFERENCE)
     samples: dict[str, list[str]] = {}
-    for r in enough.select("lang", "text", "n").orderBy("lang", "n").collect():
+    for r in first.select("lang", "text", "h", "id").orderBy("lang", "h", "id").collect():
         samples.setdefault(r["lang"], []).append(r["text"])
     return samples
 
@@ -204,7 +226,7 @@ def _predict_rows(model):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    return build_model(training_sample(docs, id_col, text_col, lang_col))
+    return build_model(training_sample(docs, id_col, text_col, lang_col), one_length=False)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

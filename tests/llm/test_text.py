@@ -146,3 +146,20 @@ def test_held_out_accuracy(spark):
     got = op6_language(spark, "/root/testdata/sf0.01").join(docs, "doc_id").filter("held_out")
     right, n = got.selectExpr("avg(cast(lang = lang_pred as double))", "count(*)").first()
     assert n > 100 and right > 0.97
+
+
+def test_a_thin_label_weakens_only_itself(docs_of):
+    rng = random.Random(9)
+    syllables = {"en": ["the", "ing", "wh", "sh", "ou"], "de": ["sch", "ung", "ü", "ei", "ver"]}
+    text = lambda k, n: " ".join("".join(rng.choices(syllables[k] + ["an", "er", "st"], k=3)) for _ in range(n))
+    rows = [(i, text(k, 30), k) for i, k in enumerate(["en", "de"] * 150)]
+    for thin in ([(1001, "ok", "aa")], [(1001, "a", "aa")], [(i, "stan", "aa") for i in range(1000, 1030)]):
+        assert G.training_sample(docs_of(rows + thin)).get("aa")
+        found = G.identify(docs_of(rows), G.fit(docs_of(rows + thin))).collect()
+        assert sum(r["found"]["lang"] == r["row"]["lang"] for r in found) > 290
+
+
+def test_sample_goes_on_until_the_reference_is_full(docs_of):
+    docs = docs_of([(i, f"word{i % 7}", "en") for i in range(9000)] + [(i, "12 34", "en") for i in range(9000, 9500)])
+    sample = G.training_sample(docs)["en"]
+    assert len(sample) > 200 and G.REFERENCE <= sum(map(len, sample)) <= 4 * G.REFERENCE
