@@ -8,7 +8,11 @@ A window's fingerprint is the 64-bit SimHash of its words. Fingerprints are look
 two that differ in at most RADIUS = 7 bits, some block differs in at most one, and every key within one bit of an item's
 block is in the index; so no fingerprint within the radius is missed. Each hit's Hamming distance is taken, and what is
 within the radius is verified: weighted Jaccard similarity (by multiplicity) of the five-word shingles of the item and of
-the stretch of the document that the hit aligns it with, the ends moved by up to SHIFT words where that is better.
+the best stretch of the document around the hit.
+
+Windows miss some copies that lost an end or hold an insertion. A stretch that is SIMILARITY alike has that share of the
+item's shingles at least, so one at least of any n - ceil(SIMILARITY * n) + 1 of its n; these keys, the rarest among the items,
+are looked up at every word, and around each the best stretch is taken. So no stretch that is similar enough is missed.
 
 Items are indexed in groups of about ITEMS_AT_ONCE, each a broadcast of bounded size and a pass over the documents.
 
@@ -20,6 +24,7 @@ read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +41,8 @@ SIMILARITY = 0.8
 RADIUS = 7
 BLOCKS, BLOCK_BITS = 4, 16
 ITEMS_AT_ONCE = 5000
-SHIFT = 3
+#: Bits of a shingle's key by which most words are passed over, and the factor of the key.
+FILTER_BITS, TIMES = 20, np.uint64(0x9E3779B97F4A7C15)
 #: The largest window; a byte holds how many of its words have a bit.
 LARGEST = 255
 #: Words whose windows are taken at once, and words whose hashes a task keeps.
@@ -100,6 +106,38 @@ class Index:
     hashes: list[np.ndarray]
     shingles: list[Counter]
     rungs: dict[int, Rung]
+    keys: np.ndarray  # of each item's rarest shingles, sorted
+    key_item: np.ndarray  # place of the item
+    some: np.ndarray  # whether a key starts with these FILTER_BITS
+
+
+def shingle_keys(hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the shingle that starts at each word but the last SHINGLE - 1."""
+    n = max(0, len(hashes) - SHINGLE + 1)
+    out = hashes[:n].copy()
+    for i in range(1, SHINGLE):
+        out *= TIMES
+        out += hashes[i : i + n]
+    return out ^ (out >> np.uint64(31))
+
+
+def rare_keys(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places of items): so many of each item's shingles that any stretch that is similar enough has one of them."""
+    counts = [Counter(shingle_keys(h).tolist()) for h in hashes]
+    items_of = Counter(k for c in counts for k in c)
+    keys, places = [], []
+    for place, c in enumerate(counts):
+        n = sum(c.values())
+        need = n - math.ceil(SIMILARITY * n - 1e-9) + 1
+        for k in sorted(c, key=lambda k: (items_of[k], k)):
+            if need <= 0:
+                break
+            need -= c[k]
+            keys.append(k)
+            places.append(place)
+    keys, places = np.array(keys, np.uint64), np.array(places, np.int64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], places[order]
 
 
 def shingles(hashes: np.ndarray) -> Counter:
@@ -126,7 +164,10 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
             first[k, 1:] = np.cumsum(np.bincount(keys, minlength=1 << BLOCK_BITS))
             entries.append(np.repeat(np.arange(len(prints)), len(near))[np.argsort(keys, kind="stable")])
         rungs[b] = Rung(prints, item, offset, first, entries)
-    return Index([i for i, _ in kept], [h for _, h in kept], [shingles(h) for _, h in kept], rungs)
+    keys, key_item = rare_keys([h for _, h in kept])
+    some = np.zeros(1 << FILTER_BITS, bool)
+    some[keys >> np.uint64(64 - FILTER_BITS)] = True
+    return Index([i for i, _ in kept], [h for _, h in kept], [shingles(h) for _, h in kept], rungs, keys, key_item, some)
 
 
 def lookup(rung: Rung, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,23 +192,53 @@ def similarity(a: Counter, b: Counter) -> float:
     return same / (sum(a.values()) + sum(b.values()) - same) if same else 0.0
 
 
-def verify(index: Index, doc: np.ndarray, item: int, start: int) -> tuple[float, int, int]:
-    """Best similarity of the item to the stretch at start, with its first word and length."""
+def longest(w: int) -> int:
+    """Shingles that a stretch may have to be similar enough to an item of w words."""
+    return int((w - SHINGLE + 1) / SIMILARITY + 1e-9)
+
+
+def verify(index: Index, doc: np.ndarray, item: int, low: int, high: int) -> tuple[float, int, int]:
+    """Best similarity of the item to a stretch within the words from low to high, with its first word and length.
+
+    The best stretch starts and ends with a shingle of the item, and with a whole run of them unless one is there too often."""
     own, w = index.shingles[item], len(index.hashes[item])
-    best = (0.0, start, w)
-    wide = shingles(doc[max(0, start - SHIFT) : start + w + SHIFT])
-    if sum(min(n, wide[x]) for x, n in own.items()) < SIMILARITY * sum(own.values()):
+    n, most = w - SHINGLE + 1, longest(w)
+    low = max(0, low)
+    part = doc[low:high].tolist()
+    there = list(zip(*(part[i:] for i in range(SHINGLE))))
+    best = (0.0, low, w)
+    wide = Counter(x for x in there if x in own)
+    if sum(min(k, own[x]) for x, k in wide.items()) < SIMILARITY * n:
         return best  # no stretch can be similar enough
-    for moved_a in sorted(range(-SHIFT, SHIFT + 1), key=abs):
-        for moved_z in sorted(range(-SHIFT, SHIFT + 1), key=abs):
-            a, z = max(0, start + moved_a), min(len(doc), start + w + moved_z)
-            if z - a >= SHINGLE and (s := similarity(own, shingles(doc[a:z]))) > best[0]:
-                best = (s, a, z - a)
-                if s == 1.0:
-                    return best
+    held = [x in own for x in there]
+    edge = [not h or wide[x] > own[x] for x, h in zip(there, held)]
+    starts = [i for i, h in enumerate(held) if h and (i == 0 or edge[i - 1])]
+    last = [h and (i + 1 == len(held) or edge[i + 1]) for i, h in enumerate(held)]
+    for a in starts:
+        same, seen = 0, {}
+        for z in range(a, min(a + most, len(held))):
+            if held[z]:
+                x = there[z]
+                seen[x] = k = seen.get(x, 0) + 1
+                same += k <= own[x]
+                if last[z] and (s := same / (n + z + 1 - a - same)) > best[0]:
+                    best = (s, low + a, z - a + SHINGLE)
+        if best[0] == 1.0:
+            break
     return best
 
 
+def key_hits(index: Index, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, place of the item) of every rare shingle of an item in parts that end at ends."""
+    keys = shingle_keys(hashes)
+    at = np.flatnonzero(index.some[keys >> np.uint64(64 - FILTER_BITS)])
+    at = at[ends[np.searchsorted(ends, at, side="right")] - at >= SHINGLE] if len(at) else at
+    first, end = (np.searchsorted(index.keys, keys[at], side=x) for x in ("left", "right"))
+    n = end - first
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(at, n), index.key_item[np.repeat(first, n) + inner]
+
+
 def search(index: Index, docs: list[np.ndarray]) -> Iterator[tuple[int, int, float, int, int]]:
     """(place of the document, place of the item, similarity, first word, words) of every item that a document holds."""
     if not index.rungs:
@@ -175,6 +246,7 @@ def search(index: Index, docs: list[np.ndarray]) -> Iterator[tuple[int, int, flo
     overlap = max(b + step(b) for b in index.rungs)
     parts = [(d, a) for d, h in enumerate(docs) for a in range(0, max(1, len(h)), BATCH)]
     tried: dict[tuple[int, int], set[int]] = {}
+    around: dict[tuple[int, int], list[int]] = {}
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     at = 0
     while at < len(parts):
@@ -204,9 +276,25 @@ def search(index: Index, docs: list[np.ndarray]) -> Iterator[tuple[int, int, flo
                 if start in tried.setdefault(key, set()) or best.get(key, (0.0,))[0] == 1.0:
                     continue
                 tried[key].add(start)
-                got = verify(index, docs[d], item, start)
+                w = len(index.hashes[item])
+                got = verify(index, docs[d], item, start - w // 4, start + w + w // 4)
                 if got[0] >= SIMILARITY and got[0] > best.get(key, (0.0,))[0]:
                     best[key] = got
+        ends = bases + sizes
+        for word, item in zip(*(x.tolist() for x in key_hits(index, np.concatenate([h for *_, h in some]), ends))):
+            part = int(np.searchsorted(ends, word, side="right"))
+            d, a, _ = some[part]
+            around.setdefault((d, item), []).append(a + word - int(bases[part]))
+    for (d, item), words in around.items():
+        words, reach, at = sorted(words), longest(len(index.hashes[item])), 0
+        while at < len(words) and best.get((d, item), (0.0,))[0] < 1.0:
+            low = high = words[at]
+            while at < len(words) and words[at] - high <= 2 * reach:
+                high = words[at]
+                at += 1
+            got = verify(index, docs[d], item, low - reach + 1, high + reach + SHINGLE - 1)
+            if got[0] >= SIMILARITY and got[0] > best.get((d, item), (0.0,))[0]:
+                best[d, item] = got
     for (d, item), got in best.items():
         yield (d, item, *got)
 

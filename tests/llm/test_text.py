@@ -163,3 +163,35 @@ def test_sample_goes_on_until_the_reference_is_full(docs_of):
     docs = docs_of([(i, f"word{i % 7}", "en") for i in range(9000)] + [(i, "12 34", "en") for i in range(9000, 9500)])
     sample = G.training_sample(docs)["en"]
     assert len(sample) > 200 and G.REFERENCE <= sum(map(len, sample)) <= 4 * G.REFERENCE
+
+
+def cuts_of(rng, item):
+    """Stretches that an item's copy may be left as: cut, edited at an edge, with an insertion, a deletion or its parts swapped."""
+    n = len(item)
+    for k in range(n // 5 + 1):
+        yield item[k:]
+        yield item[: n - k]
+    yield ["other", *item[1:]]
+    yield [*item[:-1], "other"]
+    for k in (2, n // 12, n // 8, n // 6):
+        at = rng.randrange(5, n - k)
+        yield item[:at] + passage(rng, k) + item[at:]
+        yield item[:at] + item[at + k :]
+    yield item[n // 2 :] + item[: n // 2]
+
+
+def test_every_stretch_that_is_similar_enough_is_found():
+    rng = random.Random(8)
+    words, tried = D.WordHashes(), 0
+    for n in (13, 15, 30, 40, 55, 59, 66, 116, 300):
+        for _ in range(6):
+            item = passage(rng, n)
+            index = D.build_index([(1, " ".join(item))])
+            for part in cuts_of(rng, item):
+                if jaccard(item, part) >= 0.8:
+                    doc = passage(rng, rng.randrange(60)) + part + passage(rng, rng.randrange(60))
+                    found = list(D.search(index, [words.of(" ".join(doc))]))
+                    assert [r[1] for r in found] == [0] and found[0][2] >= jaccard(item, part)
+                    assert found[0][2] == jaccard(item, doc[found[0][3] : found[0][3] + found[0][4]])
+                    tried += 1
+    assert tried > 800
