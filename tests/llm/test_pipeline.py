@@ -118,3 +118,19 @@ def test_near_copies_match_brute_force(spark):
     assert {i: got.get(i, i) for i in label} == label
     kept = corpus_pipeline.near(spark, docs, "").collect()
     assert {r["doc_id"] for r in kept} == {i for i in label if label[i] == i}
+
+
+def test_rows_without_or_with_shared_ids_are_told_apart(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    long, item, clean = text(300), text(30), [text(50) for _ in range(3)]
+    pd.DataFrame({"item_id": [1], "text": [item]}).to_parquet(tmp_path / "benchmark.parquet")
+    rows = [(1, long), (None, long + " a"), (1, long + " b"), (7, clean[0]), (7, clean[1] + " " + item), (None, clean[2]), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    left = corpus_pipeline.decontaminate(spark, corpus_pipeline.near(spark, docs, ""), str(tmp_path)).collect()
+    assert sorted(r["text"] for r in left) == sorted([long, clean[0], clean[2]])
+
+
+def test_documents_without_labels_are_kept(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 !", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
