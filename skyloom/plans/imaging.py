@@ -20,6 +20,8 @@ from skyloom.sources import tables as T
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 GRID, SMALL, SIZE, OVER = 256, 64, 8, 8
+#: Cells a unit of u and v at which every visibility's support lies in GRID.
+WHOLE = 0.96
 WSTEP, BINS = 25.0, 10
 #: Added before results of transforms are rounded: many are dyadic, and would lie on a rounding tie.
 OFF_TIES = 1e-7
@@ -35,8 +37,8 @@ def query(sql: str | None = None):
     return add
 
 
-def points(spark: SparkSession, sf_dir: str, grid: int = GRID) -> DataFrame:
-    return G.in_bounds(G.pregrid(T.visibilities(spark, sf_dir), grid, SIZE, OVER), grid, SIZE)
+def points(spark: SparkSession, sf_dir: str, grid: int = GRID, scale: float = 1.0) -> DataFrame:
+    return G.in_bounds(G.pregrid(T.visibilities(spark, sf_dir), grid, SIZE, OVER, scale), grid, SIZE)
 
 
 def gridded(spark: SparkSession, sf_dir: str, grid: int = GRID) -> DataFrame:
@@ -69,6 +71,12 @@ def a8_grid_by_baseline(spark, sf_dir):
     return G.grid(points(spark, sf_dir).filter("bl = 3"), T.convolution_table(spark), SIZE, ["bl"])
 
 
+@query(f"with {D.VIS}, {D.GCF}, {D.pregrid()}, {D.inside()}, {D.grid(keys='bl,')} select bl, x, y, gre, gim, n from grid")
+def a8_grid_all_baselines(spark, sf_dir):
+    """Every baseline's grid."""
+    return G.grid(points(spark, sf_dir), T.convolution_table(spark), SIZE, ["bl"])
+
+
 @query(
     f"""with {D.VIS}, {D.GCF}, s as (select *, least(8, 4 + cast(round(abs(w) / 50.0) as integer)) as support, cast(floor((u - floor(u)) * 8) as integer) as ou,
     cast(floor((v - floor(v)) * 8) as integer) as ov, cast(floor(u) as integer) + 128 as px, cast(floor(v) as integer) + 128 as py from vis),
@@ -335,12 +343,25 @@ def m4_forward_fft(spark, sf_dir):
     return M.fft2(image, SMALL).select("y", "x", *[(F.round(F.col(c) + OFF_TIES, 4) + 0.0).alias(c) for c in ("gre", "gim")])
 
 
+@query()
+def m5_inverse_fft_all(spark, sf_dir):
+    """Dirty image of all visibilities; as many cells are too slow for the SQL of m5_inverse_fft."""
+    return M.ifft2(G.grid(points(spark, sf_dir, scale=WHOLE), T.convolution_table(spark), SIZE), GRID)
+
+
+@query()
+def m4_forward_fft_all(spark, sf_dir):
+    """Forward transform of the real part of the grid of all visibilities."""
+    g = G.grid(points(spark, sf_dir, scale=WHOLE), T.convolution_table(spark), SIZE)
+    return M.fft2(g.select("y", "x", F.col("gre").alias("val")), GRID)
+
+
 @query()
 def m15_clean(spark, sf_dir):
     """Imaging: dirty image and point spread function of all visibilities, twelve CLEAN cycles, the model."""
-    pts = points(spark, sf_dir, SMALL)
+    pts = points(spark, sf_dir, scale=WHOLE)
     gcf = T.convolution_table(spark)
-    dirty, psf = (cut(M.ifft2(G.grid(p, gcf, SIZE), SMALL), "image") for p in (pts, ones(pts)))
+    dirty, psf = (cut(M.ifft2(G.grid(p, gcf, SIZE), GRID), "image") for p in (pts, ones(pts)))
     return M.clean(dirty, psf, 0.1, 0.0)[0]
 
 

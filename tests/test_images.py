@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import sky
 from skyloom.operators import gridding as G
 from skyloom.operators import images as M
+from skyloom.plans import imaging as I
 from skyloom.sources import tables as T
 
 
@@ -143,3 +144,18 @@ def test_readers_and_dumps(spark, tmp_path):
     assert [tuple(r) for r in T.text_rows(image).orderBy("y").collect()] == [(0, "1.0 0.0"), (1, "0.0 1.0")]
     with pytest.raises(ValueError):
         T.select_visibilities(image, 5, 400, 16, 200)
+
+
+def test_transforms_take_all_visibilities(spark):
+    sf = "/root/testdata/sf0.001"
+    pts = I.points(spark, sf, scale=I.WHOLE)
+    assert pts.count() == T.visibilities(spark, sf).count()
+    grid = G.grid(pts, T.convolution_table(spark), I.SIZE).localCheckpoint()
+    re, im = (array_of(grid, I.GRID, c) for c in ("gre", "gim"))
+    want = np.fft.fftshift(np.fft.fft2(np.fft.ifftshift(re))) / I.GRID
+    assert np.allclose(array_of(I.m4_forward_fft_all(spark, sf), I.GRID, "gre"), want.real)
+    z = re + 1j * im
+    herm = (z + np.conj(z[::-1, ::-1])) / 2
+    want = (np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(herm))) * I.GRID).real
+    assert np.allclose(array_of(I.m5_inverse_fft_all(spark, sf), I.GRID), want)
+    assert 0 < I.m15_clean(spark, sf).count() <= 12
