@@ -8,7 +8,7 @@ no entry at all do not.
 
 Intervals and captures are joined on (key, period of PERIOD seconds): an interval is dealt to the periods it spans, so one
 host's captures spread over the periods, both sides shuffle by key, and no pair of a capture and an inactive entry leaves
-the join. Only url, time and keys move, never a page's content.
+the join. Only url, time and keys move, never a page's content. A capture asks for path prefixes as deep as the list's deepest.
 
 Defined results: a null or unparsable url or a null time matches nothing and is not blocked; entries with a null key or
 date are ignored; of entries for one key at one second the greatest action in the order allow, block, remove holds;
@@ -20,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.session import cut
+
 #: Seconds of a period: 30 days.
 PERIOD = 30 * 86400
-#: Path segments that a prefix may have.
-SEGMENTS = 8
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -49,8 +49,15 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def candidate_keys(url: Column) -> Column:
-    """Array of (specificity, key) that may be listed for a url: its domains of two labels or more, its path prefixes."""
+def depth_of(entries: DataFrame) -> int:
+    """Segments of the deepest path prefix listed."""
+    most = entries.filter(F.col("key").startswith("p:")).agg(F.max(F.length("key") - F.length(F.replace("key", F.lit("/"), F.lit(""))))).first()[0]
+    return most or 0
+
+
+def candidate_keys(url: Column, depth: int) -> Column:
+    """Array of (specificity, key) that may be listed for a url: its domains of two labels or more, its path prefixes of up to
+    ``depth`` segments."""
     host, path = host_of(url), path_of(url)
     labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda s: s != "")
     n = F.size(labels)
@@ -59,7 +66,7 @@ def candidate_keys(url: Column) -> Column:
         lambda i: F.struct((n - i + 1).alias("rank"), F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, n), ".")).alias("key")),
     )
     prefixes = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(SEGMENTS)), lambda i: (i >= 1) & (i <= F.size(parts))),
+        F.slice(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(depth))), 2, depth + 1),
         lambda i: F.struct((i + 1000).alias("rank"), F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("key")),
     )
     return F.when(F.length(host) > 0, F.concat(domains, prefixes)).otherwise(F.array().cast("array<struct<rank:int,key:string>>"))
@@ -68,11 +75,12 @@ def candidate_keys(url: Column) -> Column:
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at", keep: list[str] | None = None) -> DataFrame:
     """One row per capture: row (the columns in keep, all by default), url, fetched_at, matched_key, action, valid_from, blocked."""
     keep = captures.columns if keep is None else keep
+    entries = cut(entries.select("key", "listed_at", "action"), "entries")
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
     seen = captures.select(row.alias("row"), F.col(url_col).alias("url"), F.col(time_col).cast("long").alias("fetched_at")).withColumn(
         "uid", F.monotonically_increasing_id()
     )
-    asked = seen.select("*", F.explode_outer(candidate_keys(F.col("url"))).alias("c")).select(
+    asked = seen.select("*", F.explode_outer(candidate_keys(F.col("url"), depth_of(entries))).alias("c")).select(
         "row", "url", "fetched_at", "uid", "c.rank", "c.key", F.floor(F.col("fetched_at") / PERIOD).alias("period")
     )
     span = captures.agg(F.max(F.col(time_col).cast("long")).alias("z")).first()["z"]

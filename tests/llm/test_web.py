@@ -55,6 +55,15 @@ def test_urls_judged_as_of_fetch(spark):
     assert url_filter.judge(seen.limit(0), spark.createDataFrame(ENTRIES, "key string, listed_at long, action string")).count() == 0
 
 
+def test_paths_of_any_depth(spark):
+    deep = {n: "h.org/" + "/".join(f"s{i}" for i in range(n)) for n in (8, 9, 30)}
+    urls = [(n, f"http://{p}/more", 100) for n, p in deep.items()] + [(1, "http://h.org/s0", 100), (2, "http://h.org" + "/s" * 4000, 100)]
+    entries = [(f"p:{deep[9]}", 1, "allow"), (f"p:{deep[30]}", 1, "block"), ("d:h.org", 1, "block")]
+    out = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string, fetched_at long"), spark.createDataFrame(entries, "key string, listed_at long, action string"))
+    got = {r["row"]["page_id"]: (r["matched_key"], r["blocked"]) for r in out.collect()}
+    assert got == {8: ("d:h.org", True), 9: (f"p:{deep[9]}", False), 30: (f"p:{deep[30]}", True), 1: ("d:h.org", True), 2: ("d:h.org", True)}
+
+
 def test_intervals_cross_periods(spark):
     times = [0, 5, 40 * 86400, 41 * 86400, 400 * 86400]
     rows = [("d:x.y", t, "block" if i % 2 else "allow") for i, t in enumerate(times)]
