@@ -1,8 +1,9 @@
 """Encoding of whole texts with public tokenizer files, inside tasks.
 
 The word tokenizer never joins tokens across white space, so the text's pieces between spaces are encoded once each and
-looked up after that; the result is that of encoding the whole text. Each Python worker keeps one encoder per file, with
-a bounded number of pieces.
+looked up after that; the result is that of encoding the whole text. A text that holds a special token's string goes to the
+tokenizer as a whole, which turns the string into its id. Each Python worker keeps one encoder per file, with a bounded
+number of pieces of bounded length.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ import base64
 import os
 import unicodedata
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 
 #: Pieces that an encoder keeps in each of two generations: the current one, and the one before, from which what is met
 #: again moves over; so frequent pieces stay and rare ones go.
 KEEP = 300_000
+#: Characters that a piece may have to be kept: with KEEP, a bound in bytes.
+LONGEST = 40
 #: Marks that may end a word; a word and a run of these are separate pre-tokens.
 MARKS = ".,;:!?"
 
@@ -30,8 +33,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.default = Tokenizer.from_file(path)  # for whole texts
+        self.tokenizer = Tokenizer.from_file(path)  # for pieces: lower-casing may have made a special token's string of another
+        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: For words of lower-case letters in composed form, which no normaliser changes and no pre-tokeniser splits.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
@@ -81,6 +86,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
+        whole = {i: t for i, t in enumerate(texts) if t and "<|" in t and any(s in t for s in self.special)}
+        if whole:
+            got = self._encode_texts([None if i in whole else t for i, t in enumerate(texts)])
+            for i, e in zip(whole, self.default.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
+                got[i] = np.array(e.ids, "<u4").tobytes()
+            return got
+        return self._encode_texts(texts)
+
+    def _encode_texts(self, texts: list[str | None]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
         if len(self.kept) > KEEP:
             self.before, self.kept = self.kept, {"": b""}
@@ -114,7 +128,10 @@ class WordEncoder:
         for w, stem, tail in parted:
             self.kept[w] = self.kept[stem] + self.kept[tail]
         get = self.kept.__getitem__
-        return [b"".join(map(get, p)) for p in split]
+        out = [b"".join(map(get, p)) for p in split]
+        for w in [w for w in chain(words, other, (p[0] for p in parted)) if len(w) > LONGEST]:
+            del self.kept[w]
+        return out
 
 
 @lru_cache(maxsize=2)

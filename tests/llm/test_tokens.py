@@ -16,7 +16,6 @@ from skyloom.session import new_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 TEXTS = ["Ünder the Sea's  end... 12 don't!", None, "", "word " * 5000, "x", "İstanbul ΟΔΟΣ é <|endoftext|>", " \x1c a\x85b"]
 
 
@@ -31,6 +30,20 @@ def test_pieces_encode_like_whole_texts(texts):
     assert got == [ids_of(t) for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endo\u0301", "<|", "a", " ", "É", "'s", "\n"]), max_size=8).map("".join), max_size=5))
+def test_strings_of_special_tokens_are_read_as_the_library_does(texts):
+    got = [np.frombuffer(b, "<u4").tolist() for b in word_encoder(PATH).encode(texts)]
+    assert got == [ids_of(t) for t in texts]
+
+
+def test_long_pieces_are_not_kept():
+    encoder = word_encoder(PATH)
+    long = ["x" * 5000, "y" * 300 + "!", "1" * 90, "é" * 60 + "..."]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(long * 2)] == [ids_of(t) for t in long * 2]
+    assert max(map(len, encoder.kept)) <= 40
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3000), max_size=300))
 def test_elias_fano_round_trip(steps):
@@ -47,7 +60,7 @@ def test_elias_fano_is_small():
 
 
 def test_store_round_trip(spark, docs_of):
-    rows = [(i * 7 % 101, TEXTS[i % len(TEXTS)]) for i in range(40)] + [(None, "null id"), (5000, "same"), (5000, "same")]
+    rows = [(i * 7 % 101, TEXTS[i % len(TEXTS)]) for i in range(40)] + [(None, "null id"), (-(2**63), "least"), (2**63 - 1, "most"), (5000, "same"), (5000, "same")]
     path = new_path(spark, "store")
     T.write_store(docs_of(rows), path, PATH, chunk_docs=3)
     got = sorted(T.read_boundaries(spark, path).collect(), key=lambda r: r["start"])
