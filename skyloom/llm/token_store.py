@@ -1,15 +1,18 @@
 """Token ids in binary chunks with Elias-Fano encoded document boundaries.
 
 File format: a Parquet folder of chunks in ascending id order. A chunk is one row: shard and chunk number, the ids of the
-shard before it, its documents' ids, the concatenated token ids (16-bit where the vocabulary allows, else 32-bit, little
-endian), and the documents' end offsets as an Elias-Fano sequence: ``low`` has the lower bits of each, ``high`` the upper
-bits in unary, ``marks`` the place of every 64th one-bit of ``high``, so that one offset is found by a look at ``marks``
-and a short scan. Near 2 + log2(ids per document) bits a document, where a table of 64-bit offsets takes 64.
+shard before it, the concatenated token ids (16-bit where the vocabulary allows, else 32-bit, little endian), and two
+Elias-Fano sequences: its documents' ids less the first, and their end offsets. Of each, ``low`` has the lower bits of every
+value, ``high`` the upper bits in unary, ``marks`` the place of every 64th one-bit of ``high``, so that one value is found by
+a look at ``marks`` and a short scan. Near 2 + log2(ids per document) bits a document, where a table of 64-bit offsets takes
+64. Readers take offsets from select() alone.
 
-Spark writes the folder, so it may lie in any store and failed tasks leave nothing behind.
+Texts are encoded where they are read; ids, not texts, are then dealt by range. Spark writes the folder, so it may lie in any
+store and failed tasks leave nothing behind.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; rows with equal ids are ordered by
-XXH64 of the text; an empty table gives an empty store; columns other than the id and the text are not read.
+XXH64 of the text, and are dealt by it too, so that one id's rows don't meet in one task; an empty table gives an empty
+store; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.tokens import word_encoder
+from skyloom.session import cut
 
 #: A chunk is closed once it has so many documents or token ids.
-CHUNK_DOCS, CHUNK_IDS = 4096, 1 << 16
+CHUNK_DOCS, CHUNK_IDS = 1 << 14, 1 << 20
 #: One-bits of ``high`` between two marks.
 EVERY = 64
 TEXTS = 1000
 
-CHUNK = "shard int, chunk int, before long, doc_ids array<long>, n_ids long, width int, ids binary, low_bits int, low binary, high binary, marks binary"
+SEQUENCE = "struct<n: int, low_bits: int, low: binary, high: binary, marks: binary>"
+CHUNK = f"shard int, chunk int, before long, n_docs int, nulls int, first long, doc_ids {SEQUENCE}, n_ids long, width int, ids binary, ends {SEQUENCE}"
 
 
 class EliasFano:
@@ -45,8 +50,8 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // max(1, n)).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(low_bits)) & 1
-        ones = (values >> low_bits) + np.arange(n)
+        bits = (values[:, None] >> np.arange(low_bits, dtype=values.dtype)) & values.dtype.type(1)
+        ones = (values >> low_bits).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
         return cls(
@@ -57,6 +62,10 @@ class EliasFano:
             ones[::EVERY].astype("<u4").tobytes(),
         )
 
+    def row(self) -> dict:
+        """The sequence as a value of the type SEQUENCE."""
+        return {"n": self.n, "low_bits": self.low_bits, "low": self.low, "high": self.high, "marks": self.marks}
+
     def _low(self, i: int) -> int:
         at = i * self.low_bits
         word = int.from_bytes(self.low[at >> 3 : (at + self.low_bits + 7) >> 3], "little")
@@ -84,37 +93,58 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) + low.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
 
-def _write_chunks(path: str, end: int, chunk_docs: int):
+def _encode_rows(path: str, end: int):
+    """(id, h, text) -> (id, h, ids): the bytes of the ids, each as wide as the vocabulary needs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        width = 2 if encoder.size <= 1 << 16 else 4
+        kind = f"<u{width_of(encoder.size)}"
         tail = np.array([end], "<u4").tobytes()
+        for b in batches:
+            for a in range(0, len(b), TEXTS):
+                some = b.slice(a, TEXTS)
+                ids = [np.frombuffer(x + tail, "<u4").astype(kind).tobytes() for x in encoder.encode(some.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids, pa.binary())], ["id", "h", "ids"])
+
+    return run
+
+
+def width_of(vocabulary: int) -> int:
+    """Bytes of an id."""
+    return 2 if vocabulary <= 1 << 16 else 4
+
+
+def _write_chunks(width: int, chunk_docs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chunk, before = TaskContext.get().partitionId(), 0, 0
         docs: list[int | None] = []
         data: list[bytes] = []
         held = 0
+        sequence = pa.struct([("n", pa.int32()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("marks", pa.binary())])
+        kinds = {
+            "shard": pa.int32(), "chunk": pa.int32(), "before": pa.int64(), "n_docs": pa.int32(), "nulls": pa.int32(), "first": pa.int64(),
+            "doc_ids": sequence, "n_ids": pa.int64(), "width": pa.int32(), "ids": pa.binary(), "ends": sequence,
+        }
 
         def close() -> pa.RecordBatch:
             nonlocal chunk, before, held
-            ends = np.cumsum([len(x) // 4 for x in data])
-            ef = EliasFano.encode(ends)
-            ids = np.frombuffer(b"".join(data), "<u4").astype(f"<u{width}").tobytes()
-            row = (shard, chunk, before, list(docs), int(ends[-1]), width, ids, ef.low_bits, ef.low, ef.high, ef.marks)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            ends = np.cumsum([len(x) // width for x in data])
+            known = [d for d in docs if d is not None]
+            first = known[0] if known else 0
+            past = np.array([d - first for d in known], np.uint64)  # two ids may be further apart than a signed integer holds
+            row = (shard, chunk, before, len(docs), len(docs) - len(known), first, EliasFano.encode(past).row(), int(ends[-1]), width, b"".join(data), EliasFano.encode(ends).row())
             chunk, before, held = chunk + 1, before + int(ends[-1]), 0
             docs.clear()
             data.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in CHUNK.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds.values())], list(kinds))
 
         for b in batches:
-            doc_ids = b.column(0).to_pylist()
-            for a in range(0, len(doc_ids), TEXTS):
-                for doc, ids in zip(doc_ids[a : a + TEXTS], encoder.encode(b.column(1)[a : a + TEXTS].to_pylist())):
-                    docs.append(doc)
-                    data.append(ids + tail)
-                    held += len(ids) // 4 + 1
-                    if len(docs) >= chunk_docs or held >= CHUNK_IDS:
-                        yield close()
+            for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                docs.append(doc)
+                data.append(ids)
+                held += len(ids) // width
+                if len(docs) >= chunk_docs or held >= CHUNK_IDS:
+                    yield close()
         if docs:
             yield close()
 
@@ -123,31 +153,36 @@ def _write_chunks(path: str, end: int, chunk_docs: int):
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk_docs: int = CHUNK_DOCS) -> None:
     """Encode every whole text and write the store to path, in ascending id order."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = texts.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text")).select("id", "text")
-    ordered.mapInArrow(_write_chunks(tokenizer_path, end, chunk_docs), CHUNK).write.parquet(path)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    encoded = cut(texts.mapInArrow(_encode_rows(tokenizer_path, end), "id long, h long, ids binary"), "encoded")
+    ordered = encoded.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "ids")
+    ordered.mapInArrow(_write_chunks(width_of(word_encoder(tokenizer_path).size), chunk_docs), CHUNK).write.parquet(path)
+
+
+def _sequence(row: dict) -> EliasFano:
+    return EliasFano(row["n"], row["low_bits"], row["low"], row["high"], row["marks"])
 
 
 def _read_chunks(base: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                n = len(r["doc_ids"])
-                ends = EliasFano(n, r["low_bits"], r["low"], r["high"], r["marks"]).select_all()
-                starts = np.r_[0, ends[:-1]]
-                ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
-                crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(starts + (base[r["shard"]] + r["before"])), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                ids, ends = _sequence(r["doc_ids"]), _sequence(r["ends"])
+                docs = [None] * r["nulls"] + [r["first"] + ids.select(i) for i in range(ids.n)]
+                end = [ends.select(i) for i in range(ends.n)]
+                start = [0, *end[:-1]]
+                tokens = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
+                crc = [zlib.crc32(tokens[s:e]) for s, e in zip(start, end)]
+                at = base[r["shard"]] + r["before"]
+                columns = (docs, [at + s for s in start], [e - s for s, e in zip(start, end)], crc)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
 
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of a store; start counts the ids of all documents before it."""
-    chunks = spark.read.parquet(path)
+    chunks = spark.read.schema(CHUNK).parquet(path)
     base, total = {}, 0
     for s in sorted(chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()):  # a number per shard
         base[s["shard"]] = total
