@@ -2,8 +2,8 @@
 
 Documents are tokenised once and cut into pieces of at most ``capacity`` tokens. Every partition packs its own pieces,
 largest first, each into the fullest sequence that still takes it. Nearly full sequences are emitted; the underfull ones
-become the items of the next round, dealt at random over fewer partitions, and so on up the tree. A task never gets more
-than about ``TASK_ITEMS`` items: where more stay underfull than that, rounds go on only while they still help.
+become the items of the next round, dealt at random over fewer partitions, and so on up the tree. A task never holds more
+than twice ``TASK_ITEMS`` items at once: where more stay underfull than that, rounds go on only while they still help.
 
 Defined results: a null text is one end id; repeated rows and equal ids are packed each for itself; an empty table gives
 an empty result; columns other than the id and the text are not read.
@@ -35,7 +35,7 @@ FAN_IN = 4
 TEXTS = 1000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SEQUENCE = "sequence_id long, used int, open boolean, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>>"
+SEQUENCE = "sequence_id long, used int, open boolean, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long, offset: long>>"
 
 
 def _cut_texts(path: str, capacity: int, end: int):
@@ -89,35 +89,45 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack(capacity: int, slack: int, level: int, last: bool):
-    """Packs the partition's items; each item has its members."""
+    """Packs the partition's items, at most 2 * TASK_ITEMS at a time; each item has its members, with their offsets in it."""
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]))
+
+    def packed(used: list[int], members: list[list], base: int) -> Iterator[pa.RecordBatch]:
+        bins = best_fit(used, capacity)
+        for a in range(0, len(bins), 5000):
+            sums, held = [], []
+            for own in bins[a : a + 5000]:
+                at, inside = 0, []
+                for i in own:
+                    inside += [{**m, "offset": m["offset"] + at} for m in members[i]]
+                    at += used[i]
+                sums.append(at)
+                held.append(inside)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(base + a, base + a + len(sums)), pa.int64()), pa.array(sums, pa.int32()), pa.array([not last and capacity - n > slack for n in sums], pa.bool_()), pa.array(held, kind)],
+                ["sequence_id", "used", "open", "members"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = (level << 56) | (TaskContext.get().partitionId() << 32)
         used: list[int] = []
         members: list[list] = []
         for b in batches:
-            used += b.column(0).to_pylist()
-            members += b.column(1).to_pylist()
-        base = (level << 56) | (TaskContext.get().partitionId() << 32)
-        ids, sums, opened, packed = [], [], [], []
-        for n, own in enumerate(best_fit(used, capacity)):
-            ids.append(base | n)
-            sums.append(sum(used[i] for i in own))
-            opened.append(not last and capacity - sums[-1] > slack)
-            packed.append([m for i in own for m in members[i]])
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-        for a in range(0, len(ids), 5000):
-            z = a + 5000
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[a:z], pa.int64()), pa.array(sums[a:z], pa.int32()), pa.array(opened[a:z], pa.bool_()), pa.array(packed[a:z], kind)],
-                ["sequence_id", "used", "open", "members"],
-            )
+            for a in range(0, len(b), TASK_ITEMS):
+                some = b.slice(a, TASK_ITEMS)
+                if len(used) + len(some) > 2 * TASK_ITEMS:
+                    yield from packed(used, members, base)
+                    base, used, members = base + len(used), [], []
+                used += some.column(0).to_pylist()
+                members += some.column(1).to_pylist()
+        yield from packed(used, members, base)
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece; sequences have no gaps."""
-    member = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32"))
+    member = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset")))
     items = pieces.select(F.col("length").cast("int").alias("used"), member.alias("members"))
     rounds = [cut(items.mapInArrow(_pack(capacity, SLACK[0], 0, False), SEQUENCE), "packed")]
     parts, before = None, None
@@ -136,8 +146,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     done = rounds[0].filter("not open")
     for r in rounds[1:]:
         done = done.unionByName(r.filter("not open"))
-    at = F.transform(F.sequence(F.lit(1), F.size("members")), lambda i: F.aggregate(F.slice("members", 1, i - 1), F.lit(0).cast("long"), lambda s, m: s + m["length"]))
-    return done.select("sequence_id", F.explode(F.arrays_zip("members", at.alias("at"))).alias("m")).select("m.members.*", "sequence_id", F.col("m.at").alias("offset"))
+    return done.select("sequence_id", F.explode("members").alias("m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
