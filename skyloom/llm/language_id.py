@@ -9,7 +9,9 @@ parse everything cheaply.
 
 The automaton is completed into a table: a missing transition leads to where the symbol leads from the root and carries a
 flag, "a new phrase starts here". Many texts walk the tables in step, so a symbol costs a few numpy operations.
-To keep the lanes even, a text is parsed in segments of ``SEGMENT`` symbols; every segment starts a phrase.
+To keep the lanes even, a text is walked in segments of ``SEGMENT`` symbols at once, each as if a phrase started with it; then
+every segment is walked anew from the state that the one before really ends in, until both walks are in one state, which takes
+a few phrases. So the phrases are those of the whole text, wherever segments end.
 
 Defined results: ``und`` and score 0 for a text that is null or has no letter, or if there is nothing to learn from; ties
 go to the first language in order of name; repeated rows are judged each for itself; an empty table gives an empty
@@ -29,8 +31,9 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Symbols of reference text per language. Bound of the sample.
-REFERENCE = 20_000
+#: Letters and spaces of a labelled row up to which it is learned from, and the symbols of reference text per language at which
+#: no more rows are taken. Bounds of the sample; rows are taken whole.
+LONGEST, REFERENCE = 5_000, 20_000
 #: Letters that have a symbol of their own; all others share one.
 LETTERS = 250
 SEGMENT = 512
@@ -104,7 +107,7 @@ def build_model(samples: dict[str, list[str]], one_length: bool = True) -> Model
     """Automata of the sampled texts of each language: cut to one length so that none has more to match, or each at its own."""
     samples = {k: samples[k] for k in sorted(samples)}
     symbols = symbol_table([t for texts in samples.values() for t in texts])
-    refs = {k: symbols_of(code_points(" ".join(texts)), symbols)[:REFERENCE] for k, texts in samples.items()}
+    refs = {k: symbols_of(code_points(" ".join(texts)), symbols) for k, texts in samples.items()}
     refs = {k: r for k, r in refs.items() if (r != SPACE).any()}
     width = 1 + max([int(r.max()) for r in refs.values()], default=0)
     symbols = np.where(symbols < width, symbols, OTHER).astype(np.uint8)
@@ -134,6 +137,37 @@ def build_model(samples: dict[str, list[str]], one_length: bool = True) -> Model
     return Model(list(refs), symbols, np.concatenate(tables).astype(kind) if tables else np.zeros(0, kind), np.array(roots, kind), costs, lacks)
 
 
+def _walk(model: Model, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(last state, phrases) of every segment (columns) against each language (rows), from the roots; longest segments first."""
+    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), side="right")
+    state = np.repeat(model.roots[:, None], len(starts), axis=1)
+    count = np.zeros_like(state)
+    for step, n in enumerate(active.tolist()):
+        symbol = data[starts[:n] + step].astype(np.int32)
+        moved = model.table[(state[:, :n] >> 1) + symbol]
+        state[:, :n] = moved
+        moved &= 1
+        count[:, :n] += moved
+    return state >> 1, count
+
+
+def _rejoin(model: Model, data: np.ndarray, at: np.ndarray, end: np.ndarray, old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Walks from the states old and new over the symbols from at to end until both meet: phrases that the new walk has more,
+    whether they met, and the new walk's last state where they didn't."""
+    more, met, last = np.zeros(len(at), np.int64), np.zeros(len(at), bool), new.copy()
+    lane, at, old, new = np.arange(len(at)), at.copy(), old.copy(), new.copy()
+    while len(lane):
+        symbol = data[at].astype(np.int32)
+        one, two = model.table[old + symbol], model.table[new + symbol]
+        more[lane] += (two & 1) - (one & 1)
+        old, new, at = one >> 1, two >> 1, at + 1
+        met[lane] = old == new
+        last[lane] = new
+        go = (old != new) & (at < end[lane])
+        lane, at, old, new = lane[go], at[go], old[go], new[go]
+    return more, met, last
+
+
 def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Phrases of each text's symbols (rows) against each language (columns)."""
     n_lang = len(model.languages)
@@ -148,16 +182,20 @@ def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + inner * SEGMENT
     lengths = np.minimum(SEGMENT, sizes[owner] - inner * SEGMENT)
     order = np.argsort(-lengths, kind="stable")
-    owner, starts, lengths = owner[order], starts[order], lengths[order]
-    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), side="right")
-    state = np.repeat(model.roots[:, None], len(starts), axis=1)
-    count = np.zeros_like(state)
-    for step, n in enumerate(active.tolist()):
-        symbol = data[starts[:n] + step].astype(np.int32)
-        moved = model.table[(state[:, :n] >> 1) + symbol]
-        state[:, :n] = moved
-        moved &= 1
-        count[:, :n] += moved
+    final, count = (np.empty((n_lang, len(starts)), np.int64) for _ in range(2))
+    final[:, order], count[:, order] = _walk(model, data, starts[order], lengths[order])
+    given = np.repeat(model.roots[:, None] >> 1, len(starts), axis=1)
+    follows = np.flatnonzero(inner > 0)
+    while True:
+        k, j = np.nonzero(final[:, follows - 1] != given[:, follows])
+        if not len(k):
+            break
+        s = follows[j]
+        want = final[k, s - 1]
+        more, met, last = _rejoin(model, data, starts[s], starts[s] + lengths[s], given[k, s], want)
+        count[k, s] += more
+        given[k, s] = want
+        final[k[~met], s[~met]] = last[~met]
     for k in range(n_lang):
         out[:, k] = np.bincount(owner, count[k], len(texts)).astype(np.int64)
     return out
@@ -192,26 +230,41 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """Texts to learn from, as words: of each label, the documents with a letter outside the held-out fifth that come first by
-    hash of their id, as many as REFERENCE symbols take, each cut to REFERENCE; so the driver gets a bounded text per language.
+    """Texts to learn from, as words: of each label, whole rows with a letter outside the held-out fifth and of at most LONGEST
+    letters and spaces, first by hash of id and text, as many as REFERENCE symbols take; of a label without such rows its shortest
+    one. So the driver gets a bounded text per language.
 
-    Hashes are halved until half of what is left would hold too little, so that only a bounded number of documents is sorted."""
+    Hashes are halved until half of what is left would hold too little, so that only a bounded number of rows is sorted."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         "id is not null and lang is not null and text is not null"
     )
     learn = labelled.filter((F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0) & F.col("text").rlike(r"\p{L}"))
-    words = learn.select("lang", "id", F.xxhash64("id").alias("h"), F.substring(F.regexp_replace("text", r"\P{L}+", " "), 1, REFERENCE).alias("text"))
+    words = learn.select("lang", "id", F.xxhash64("id", "text").alias("h"), F.regexp_replace("text", r"\P{L}+", " ").alias("text")).withColumn("n", F.length("text"))
     place = F.col("h") / 2.0**64 + 0.5
     words = words.withColumn("level", F.least(F.lit(60), F.floor(-F.log2(F.greatest(place, F.lit(2.0**-61)))).cast("int")))
-    held = words.groupBy("lang", "level").agg(F.sum(F.length("text")).alias("symbols"))
-    down = Window.partitionBy("lang").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    enough = held.withColumn("symbols", F.sum("symbols").over(down)).groupBy("lang")
-    least = enough.agg(F.coalesce(F.max(F.when(F.col("symbols") >= 2 * REFERENCE, F.col("level"))), F.lit(0)).alias("least"))
-    some = words.join(F.broadcast(least), "lang").filter("level >= least")  # a row per language, as the model has
-    need = Window.partitionBy("lang").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
-    first = some.withColumn("before", F.coalesce(F.sum(F.length("text")).over(need), F.lit(0))).filter(F.col("before") < 2 * REFERENCE)
+    short = F.col("n") <= LONGEST
+    held = words.groupBy("lang", "level").agg(F.sum(F.when(short, F.col("n"))).alias("symbols"), F.min(F.struct("n", "h", "id")).alias("least"))
+    levels: dict[str, dict[int, tuple]] = {}
+    for r in held.collect():  # at most 61 rows a language, as the model has a table each
+        levels.setdefault(r["lang"], {})[r["level"]] = (r["symbols"] or 0, tuple(r["least"]))
+    wanted = []
+    for lang, by_level in levels.items():
+        total, least = 0, None
+        for level in sorted(by_level, reverse=True):
+            total += by_level[level][0]
+            if least is None and total >= 2 * REFERENCE:
+                least = level
+        single = None if total else min(x for _, x in by_level.values())
+        wanted.append((lang, least or 0, single[2] if single else None, single[1] if single else None))
     samples: dict[str, list[str]] = {}
-    for r in first.select("lang", "text", "h", "id").orderBy("lang", "h", "id").collect():
+    if not wanted:
+        return samples
+    kind = words.schema["id"].dataType.simpleString()
+    asked = docs.sparkSession.createDataFrame(wanted, f"lang string, least int, single {kind}, single_h long")
+    some = words.join(F.broadcast(asked), "lang").filter((F.col("single").isNull() & (F.col("level") >= F.col("least")) & short) | (F.col("id") == F.col("single")))
+    need = Window.partitionBy("lang").orderBy("h", "id", "n").rowsBetween(Window.unboundedPreceding, -1)
+    first = some.withColumn("before", F.coalesce(F.sum("n").over(need), F.lit(0))).filter(F.col("before") < REFERENCE)
+    for r in first.select("lang", "text", "h", "id").orderBy("lang", "h", "id", "text").collect():
         samples.setdefault(r["lang"], []).append(r["text"])
     return samples
 
@@ -231,5 +284,5 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """One row per input row: row (all input columns) and found, a struct of lang, score and bits a symbol."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * REFERENCE rows of table per language
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # about 2 * REFERENCE rows of table per language
     return docs.select(F.struct("*").alias("row"), _predict_rows(shipped)(F.col(text_col)).alias("found"))
