@@ -14,11 +14,14 @@ Windows miss some copies that lost an end or hold an insertion. A stretch that i
 item's shingles at least, so one at least of any n - ceil(SIMILARITY * n) + 1 of its n; these keys, the rarest among the items,
 are looked up at every word, and around each the best stretch is taken. So no stretch that is similar enough is missed.
 
-Items are indexed in groups of about ITEMS_AT_ONCE, each a broadcast of bounded size and a pass over the documents.
+Both ways only say where to look: hits of one item that lie near each other are verified together, once.
+
+Items are indexed in groups of about CHARS_AT_ONCE characters, so of at most half as many words, each a broadcast of bounded
+size (under 100 bytes a word and 1 MB a rung) and a pass over the documents; a group's broadcast goes once its pass is written.
 
 Defined results: words are runs of letters, digits and underscores in lower case; an item with fewer than five words has
 no shingle and is never found; null or empty texts hold nothing; a document has one row per item that it holds, with the
-best similarity; rows with a null id are reported under null; repeated rows are reported once each; extra columns are not
+best similarity; repeated items count once; rows with a null id are reported under null; repeated rows are reported once each; extra columns are not
 read.
 """
 
@@ -28,7 +31,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +39,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.session import cut
+
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 7
 BLOCKS, BLOCK_BITS = 4, 16
-ITEMS_AT_ONCE = 5000
+#: Characters of items indexed at once.
+CHARS_AT_ONCE = 2_000_000
 #: Bits of a shingle's key by which most words are passed over, and the factor of the key.
 FILTER_BITS, TIMES = 20, np.uint64(0x9E3779B97F4A7C15)
-#: The largest window; a byte holds how many of its words have a bit.
-LARGEST = 255
+#: The largest window of which a byte holds how many of its words have a bit.
+BYTE = 255
 #: Words whose windows are taken at once, and words whose hashes a task keeps.
 BATCH, KEEP = 1 << 15, 300_000
 WORD = re.compile(r"\w+")
@@ -57,9 +63,9 @@ def step(b: int) -> int:
 
 
 def rung_of(w: int) -> int:
-    """The window size for items of w words, LARGEST at most."""
+    """The window size for items of w words."""
     b, best = 1, 1
-    while b + step(b) - 1 <= w and b <= LARGEST:
+    while b + step(b) - 1 <= w:
         best = b
         b = max(b + 1, b * 6 // 5)
     return best
@@ -82,11 +88,15 @@ class WordHashes(dict):
 def window_prints(hashes: np.ndarray, rungs: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """SimHash of the windows of each size b that start at rungs[b]; a bit is set if it is in over half the words."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.zeros((len(hashes) + 1, 8), np.uint64)  # eight counters each; carries cancel in the differences
-    np.cumsum(bits.view(np.uint64), axis=0, out=sums[1:])
     out = {}
+    if any(b <= BYTE for b in rungs):
+        sums = np.zeros((len(hashes) + 1, 8), np.uint64)  # eight counters each; carries cancel in the differences
+        np.cumsum(bits.view(np.uint64), axis=0, out=sums[1:])
+    if any(b > BYTE for b in rungs):
+        wide = np.zeros((len(hashes) + 1, 64), np.uint32)
+        np.cumsum(bits, axis=0, dtype=np.uint32, out=wide[1:])
     for b, starts in rungs.items():
-        ones = (sums[starts + b] - sums[starts]).view(np.uint8)
+        ones = (sums[starts + b] - sums[starts]).view(np.uint8) if b <= BYTE else wide[starts + b] - wide[starts]
         out[b] = np.packbits(ones > b // 2, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
@@ -104,11 +114,17 @@ class Rung:
 class Index:
     ids: list[int | None]
     hashes: list[np.ndarray]
-    shingles: list[Counter]
     rungs: dict[int, Rung]
     keys: np.ndarray  # of each item's rarest shingles, sorted
     key_item: np.ndarray  # place of the item
     some: np.ndarray  # whether a key starts with these FILTER_BITS
+    made: dict[int, Counter] = field(default_factory=dict)
+
+    def shingles(self, place: int) -> Counter:
+        """An item's shingles, counted when they are first asked for."""
+        if place not in self.made:
+            self.made[place] = shingles(self.hashes[place])
+        return self.made[place]
 
 
 def shingle_keys(hashes: np.ndarray) -> np.ndarray:
@@ -157,17 +173,17 @@ def build_index(items: list[tuple[int | None, str | None]]) -> Index:
     rungs = {}
     for b, parts in sorted(by_rung.items()):
         prints, item, offset = (np.concatenate(x) for x in zip(*parts))
-        first, entries = np.zeros((BLOCKS, (1 << BLOCK_BITS) + 1), np.int64), []
+        first, entries = np.zeros((BLOCKS, (1 << BLOCK_BITS) + 1), np.int32), []
         for k in range(BLOCKS):
             key = ((prints >> np.uint64(BLOCK_BITS * k)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
             keys = (key[:, None] ^ near).ravel()
             first[k, 1:] = np.cumsum(np.bincount(keys, minlength=1 << BLOCK_BITS))
-            entries.append(np.repeat(np.arange(len(prints)), len(near))[np.argsort(keys, kind="stable")])
+            entries.append(np.repeat(np.arange(len(prints), dtype=np.int32), len(near))[np.argsort(keys, kind="stable")])
         rungs[b] = Rung(prints, item, offset, first, entries)
     keys, key_item = rare_keys([h for _, h in kept])
     some = np.zeros(1 << FILTER_BITS, bool)
     some[keys >> np.uint64(64 - FILTER_BITS)] = True
-    return Index([i for i, _ in kept], [h for _, h in kept], [shingles(h) for _, h in kept], rungs, keys, key_item, some)
+    return Index([i for i, _ in kept], [h for _, h in kept], rungs, keys, key_item, some)
 
 
 def lookup(rung: Rung, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +217,7 @@ def verify(index: Index, doc: np.ndarray, item: int, low: int, high: int) -> tup
     """Best similarity of the item to a stretch within the words from low to high, with its first word and length.
 
     The best stretch starts and ends with a shingle of the item, and with a whole run of them unless one is there too often."""
-    own, w = index.shingles[item], len(index.hashes[item])
+    own, w = index.shingles(item), len(index.hashes[item])
     n, most = w - SHINGLE + 1, longest(w)
     low = max(0, low)
     part = doc[low:high].tolist()
@@ -244,59 +260,51 @@ def search(index: Index, docs: list[np.ndarray]) -> Iterator[tuple[int, int, flo
     if not index.rungs:
         return
     overlap = max(b + step(b) for b in index.rungs)
-    parts = [(d, a) for d, h in enumerate(docs) for a in range(0, max(1, len(h)), BATCH)]
-    tried: dict[tuple[int, int], set[int]] = {}
-    around: dict[tuple[int, int], list[int]] = {}
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    batch = max(BATCH, overlap)
+    parts = [(d, a) for d, h in enumerate(docs) for a in range(0, max(1, len(h)), batch)]
+    around: dict[tuple[int, int], set[int]] = {}
     at = 0
     while at < len(parts):
         some, n = [], 0
-        while at < len(parts) and n < BATCH:
+        while at < len(parts) and n < batch:
             d, a = parts[at]
-            some.append((d, a, docs[d][a : a + BATCH + overlap]))
+            some.append((d, a, docs[d][a : a + batch + overlap]))
             n += len(some[-1][2])
             at += 1
         sizes = np.fromiter((len(h) for *_, h in some), np.int64, len(some))
         bases = np.cumsum(sizes) - sizes
-        rungs, owners = {}, {}
+        ends = bases + sizes
+        words = np.concatenate([h for *_, h in some])
+
+        def hit(word: int, item: int) -> None:
+            part = int(np.searchsorted(ends, word, side="right"))
+            d, a, _ = some[part]
+            around.setdefault((d, item), set()).add(a + word - int(bases[part]))
+
+        rungs = {}
         for b in index.rungs:
             n_win = np.maximum(0, (sizes - b) // step(b) + 1)
-            owners[b] = np.repeat(np.arange(len(some)), n_win)
-            inner = np.arange(len(owners[b])) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-            rungs[b] = bases[owners[b]] + inner * step(b)
-        prints = window_prints(np.concatenate([h for *_, h in some]), rungs) if sizes.sum() else {}
-        for b, fp in prints.items():
+            inner = np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win)
+            rungs[b] = np.repeat(bases, n_win) + inner * step(b)
+        for b, fp in (window_prints(words, rungs) if len(words) else {}).items():
             rung = index.rungs[b]
             for win, entry in zip(*(x.tolist() for x in lookup(rung, fp))):
-                part = owners[b][win]
-                d, a, _ = some[part]
-                item = int(rung.item[entry])
-                start = a + int(rungs[b][win] - bases[part]) - int(rung.offset[entry])
-                key = (d, item)
-                if start in tried.setdefault(key, set()) or best.get(key, (0.0,))[0] == 1.0:
-                    continue
-                tried[key].add(start)
-                w = len(index.hashes[item])
-                got = verify(index, docs[d], item, start - w // 4, start + w + w // 4)
-                if got[0] >= SIMILARITY and got[0] > best.get(key, (0.0,))[0]:
-                    best[key] = got
-        ends = bases + sizes
-        for word, item in zip(*(x.tolist() for x in key_hits(index, np.concatenate([h for *_, h in some]), ends))):
-            part = int(np.searchsorted(ends, word, side="right"))
-            d, a, _ = some[part]
-            around.setdefault((d, item), []).append(a + word - int(bases[part]))
-    for (d, item), words in around.items():
-        words, reach, at = sorted(words), longest(len(index.hashes[item])), 0
-        while at < len(words) and best.get((d, item), (0.0,))[0] < 1.0:
+                first = int(rungs[b][win])
+                hit(first, int(rung.item[entry]))
+                hit(first + b - 1, int(rung.item[entry]))
+        for word, item in zip(*(x.tolist() for x in key_hits(index, words, ends))):
+            hit(word, item)
+    for (d, item), places in around.items():
+        best = (0.0, 0, 0)
+        words, reach, at = sorted(places), longest(len(index.hashes[item])), 0
+        while at < len(words) and best[0] < 1.0:
             low = high = words[at]
             while at < len(words) and words[at] - high <= 2 * reach:
                 high = words[at]
                 at += 1
-            got = verify(index, docs[d], item, low - reach + 1, high + reach + SHINGLE - 1)
-            if got[0] >= SIMILARITY and got[0] > best.get((d, item), (0.0,))[0]:
-                best[d, item] = got
-    for (d, item), got in best.items():
-        yield (d, item, *got)
+            best = max(best, verify(index, docs[d], item, low - reach + 1, high + reach + SHINGLE - 1), key=lambda x: x[0])
+        if best[0] >= SIMILARITY:
+            yield (d, item, *best)
 
 
 def _search_rows(index):
@@ -322,11 +330,16 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text"))
-    rounds = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    items = items.distinct()
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    rounds = max(1, -(-chars // CHARS_AT_ONCE))
     out = None
     for r in range(rounds):
         part = items if rounds == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == r)
-        index = spark.sparkContext.broadcast(build_index([tuple(x) for x in part.collect()]))  # about ITEMS_AT_ONCE items
+        index = spark.sparkContext.broadcast(build_index([tuple(x) for x in part.collect()]))  # about CHARS_AT_ONCE characters
         found = texts.mapInArrow(_search_rows(index), FOUND)
+        if rounds > 1:
+            found = cut(found, "found")
+            index.destroy()
         out = found if out is None else out.unionByName(found)
     return out
