@@ -32,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -230,7 +231,10 @@ def verify(index: Index, doc: np.ndarray, item: int, low: int, high: int) -> tup
     edge = [not h or wide[x] > own[x] for x, h in zip(there, held)]
     starts = [i for i, h in enumerate(held) if h and (i == 0 or edge[i - 1])]
     last = [h and (i + 1 == len(held) or edge[i + 1]) for i, h in enumerate(held)]
+    upto = list(accumulate(held, initial=0))
     for a in starts:
+        if upto[min(a + most, len(held))] - upto[a] <= best[0] * n:
+            continue  # what is left holds too few to be better
         same, seen = 0, {}
         for z in range(a, min(a + most, len(held))):
             if held[z]:
