@@ -108,31 +108,44 @@ def _sql_digest(text: str) -> str:
     return "'sha1:' || " + " || ".join(f"substr('{warc.BASE32}', cast(({w} >> {s}) & 31 as integer) + 1, 1)" for w in word for s in range(35, -1, -5))
 
 
+#: Character references that the given pages hold, some cut short, and what they stand for; the ampersand comes last.
+_REFERENCES = (("&nbsp", " "), ("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#39", "'"), ("&copy", "©"), ("&middot", "·"), ("&amp", "&"))
+
+
+def _sql_resolved(text: str) -> str:
+    for name, char in _REFERENCES:
+        text = f"regexp_replace({text}, '{name};?', chr({ord(char)}), 'g')"
+    return text
+
+
 def _sql_text(html: str) -> str:
     out = html
     for pattern in ("(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"):
         out = f"regexp_replace({out}, '{pattern}', ' ', 'g')"
     out = rf"regexp_replace({out}, '(?i)</?(?:{warc.BLOCK_TAGS})\b[^>]*>', chr(10), 'g')"
-    out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
-    for name, char in warc.REFERENCES:
-        out = f"replace({out}, '{name}', chr({ord(char)}))"
+    out = _sql_resolved(f"regexp_replace({out}, '<[^>]*>', '', 'g')")
     out = rf"regexp_replace({out}, '[ \t\r\f]+', ' ', 'g')"
     out = rf"regexp_replace({out}, ' ?\n[ \n]*', chr(10), 'g')"
     return rf"regexp_replace({out}, '^[ \n]+|[ \n]+$', '', 'g')"
 
 
+_CRLF = "chr(13) || chr(10)"
+
 ORACLE_SQL["op3_warc_derivatives"] = rf"""
 with p as (select {_sql_uuid("concat_ws(' ', 'response', cast(page_id as varchar), url)")} as refers_to, url as refers_to_uri,
     strftime(make_timestamp(({EPOCH} + (page_id * 7919) % {YEARS}) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as refers_to_date,
     'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=UTF-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) as source_headers,
     {_sql_digest("html")} as source_digest, {_sql_text("html")} as txt,
-    regexp_extract(html, '(?is)<title[^>]*>([^<]*)<', 1) as title, regexp_extract(html, '(?i)<html[^>]*\blang="([^"]*)"', 1) as language,
+    {_sql_resolved("regexp_extract(html, '(?is)<title[^>]*>([^<]*)<', 1)")} as title, regexp_extract(html, '(?i)<html[^>]*\blang="([^"]*)"', 1) as language,
     len(regexp_extract_all(html, '(?i)<a\s[^>]*href=')) as outlinks from pages),
 r as (select refers_to, refers_to_uri, refers_to_date, source_headers, source_digest, 'metadata' as warc_type, {_sql_uuid("'metadata ' || refers_to")} as record_id,
     'application/warc-fields' as content_type, 'title: ' || trim(regexp_replace(title, '\s+', ' ', 'g')) || chr(13) || chr(10) || 'language: ' || language || chr(13) || chr(10)
     || 'outlinks: ' || outlinks || chr(13) || chr(10) || 'text-characters: ' || length(txt) || chr(13) || chr(10) as block from p
-    union all select refers_to, refers_to_uri, refers_to_date, source_headers, source_digest, 'conversion', {_sql_uuid("'conversion ' || refers_to")}, 'text/plain; charset=UTF-8', txt from p)
-select *, strlen(block) as content_length, {_sql_digest("block")} as block_digest from r
+    union all select refers_to, refers_to_uri, refers_to_date, source_headers, source_digest, 'conversion', {_sql_uuid("'conversion ' || refers_to")}, 'text/plain; charset=UTF-8', txt from p),
+d as (select *, strlen(block) as content_length, {_sql_digest("block")} as block_digest from r)
+select *, concat_ws({_CRLF}, 'WARC/1.1', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Refers-To: ' || refers_to, 'WARC-Refers-To-Target-URI: ' || refers_to_uri,
+    'WARC-Refers-To-Date: ' || refers_to_date, 'WARC-Target-URI: ' || refers_to_uri, 'WARC-Date: ' || refers_to_date, 'WARC-Block-Digest: ' || block_digest,
+    'Content-Type: ' || content_type, 'Content-Length: ' || content_length, {_CRLF}) as warc_header from d
 """
 
 

@@ -2,15 +2,21 @@
 
 A response has a record id, a target URI, a date, its HTTP headers and its payload. Each gives two records that refer to
 it: ``metadata`` (application/warc-fields: title, language, outlinks, sizes) and ``conversion`` (text/plain: the visible
-text). Both keep the source's headers and payload digest and have ids and block digests of their own. Record ids are
-name-based, so a run over the same responses gives the same ids. Everything is a projection: no shuffle.
+text). Both keep the source's headers and payload digest, have ids and block digests of their own, and come with the header
+block of their WARC record. Record ids are name-based, so a run over the same responses gives the same ids. Everything is a
+projection: no shuffle. Character references of any kind, numeric or named, are resolved as browsers do, in text and title.
 
-Defined results: a null payload counts as empty, null headers stay null, a null URI is an empty name; repeated responses
-give repeated records; extra columns are not read; an empty table gives an empty result.
+Defined results: a null payload counts as empty, null headers stay null, a null URI is an empty name and a null URI or date has
+no header line; repeated responses give repeated records; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,21 +24,33 @@ from pyspark.sql import functions as F
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Elements that start a line of their own.
 BLOCK_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul|title"
-#: Character references and what they stand for; the ampersand comes last.
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+DROPPED = [re.compile(p, re.A) for p in (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>")]
+BLOCK, TAG = re.compile(rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", re.A), re.compile(r"<[^>]*>")
+BLANKS, LINES, ENDS = re.compile(r"[ \t\r\f]+"), re.compile(r" ?\n[ \n]*"), re.compile(r"^[ \n]+|[ \n]+$")
+TITLE = re.compile(r"(?is)<title[^>]*>([^<]*)<")
+
+
+def resolved(text: str) -> str:
+    """Character references as characters, hard spaces as spaces."""
+    return html.unescape(text).replace("\xa0", " ")
+
+
+def visible_text(page: str) -> str:
+    """Text of a page: no comments, scripts or styles; block elements as lines; references resolved; white space collapsed."""
+    for pattern in DROPPED:
+        page = pattern.sub(" ", page)
+    text = resolved(TAG.sub("", BLOCK.sub("\n", page)))
+    return ENDS.sub("", LINES.sub("\n", BLANKS.sub(" ", text)))
 
 
-def visible_text(html: Column) -> Column:
-    """Text of a page: no comments, scripts or styles; block elements as lines; white space collapsed; references resolved."""
-    out = html
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"):
-        out = F.regexp_replace(out, pattern, " ")
-    out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
-    for name, char in REFERENCES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.regexp_replace(out, r"[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+def title_of(page: str) -> str:
+    found = TITLE.search(page)
+    return resolved(found[1]) if found else ""
+
+
+def _read_pages(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for p in pages:
+        yield pd.DataFrame({"text": [visible_text(x) for x in p], "title": [title_of(x) for x in p]})
 
 
 def uuid_of(name: Column) -> Column:
@@ -50,16 +68,14 @@ def digest(block: Column) -> Column:
 
 def derive(responses: DataFrame) -> DataFrame:
     """(record_id, uri, date, headers, payload) -> two rows a response: record_id, warc_type, refers_to, refers_to_uri,
-    refers_to_date, source_headers, source_digest, content_type, content_length, block_digest, block."""
+    refers_to_date, source_headers, source_digest, content_type, content_length, block_digest, warc_header, block."""
     source = responses.select("record_id", "uri", "date", "headers", F.coalesce("payload", F.lit("")).alias("payload"))
-    read = source.select(
-        "*",
+    read = source.withColumn("page", F.pandas_udf("text string, title string")(_read_pages)("payload")).select(
+        "record_id", "uri", "date", "headers", "page.text", "page.title",
         digest(F.col("payload").cast("binary")).alias("source_digest"),
-        visible_text(F.col("payload")).alias("text"),
-        F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)<", 1).alias("title"),
         F.regexp_extract("payload", r'(?i)<html[^>]*\blang="([^"]*)"', 1).alias("language"),
         F.regexp_count("payload", F.lit(r'(?i)<a\s[^>]*href=')).alias("outlinks"),
-    )
+    )
     fields = F.concat(
         F.lit("title: "), F.trim(F.regexp_replace("title", r"\s+", " ")), F.lit("\r\nlanguage: "), F.col("language"),
         F.lit("\r\noutlinks: "), F.col("outlinks").cast("string"), F.lit("\r\ntext-characters: "), F.length("text").cast("string"), F.lit("\r\n"),
@@ -70,4 +86,11 @@ def derive(responses: DataFrame) -> DataFrame:
         F.struct(F.lit("conversion").alias("warc_type"), name("conversion").alias("record_id"), F.lit("text/plain; charset=UTF-8").alias("content_type"), F.col("text").alias("block")),
     )
     made = read.select(F.col("record_id").alias("refers_to"), F.col("uri").alias("refers_to_uri"), F.col("date").alias("refers_to_date"), F.col("headers").alias("source_headers"), "source_digest", F.explode(records).alias("r"))
-    return made.select("r.warc_type", "r.record_id", "refers_to", "refers_to_uri", "refers_to_date", "source_headers", "source_digest", "r.content_type", F.octet_length("r.block").alias("content_length"), digest(F.col("r.block").cast("binary")).alias("block_digest"), "r.block")
+    out = made.select("r.warc_type", "r.record_id", "refers_to", "refers_to_uri", "refers_to_date", "source_headers", "source_digest", "r.content_type", F.octet_length("r.block").alias("content_length"), digest(F.col("r.block").cast("binary")).alias("block_digest"), "r.block")
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c))
+    header = F.concat_ws(
+        "\r\n", F.lit("WARC/1.1"), line("WARC-Type", "warc_type"), line("WARC-Record-ID", "record_id"), line("WARC-Refers-To", "refers_to"), line("WARC-Refers-To-Target-URI", "refers_to_uri"),
+        line("WARC-Refers-To-Date", "refers_to_date"), line("WARC-Target-URI", "refers_to_uri"), line("WARC-Date", "refers_to_date"), line("WARC-Block-Digest", "block_digest"),
+        line("Content-Type", "content_type"), F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")), F.lit("\r\n"),
+    )
+    return out.withColumn("warc_header", header)
