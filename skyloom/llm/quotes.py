@@ -7,13 +7,18 @@ message in which its conversation has it first, if that is an earlier turn: as a
 longest of its lines that is. A message replies to the latest message that its least deep quotes link to.
 
 Conversations come back in reply order, without quotes: a reply always follows what it quotes, since links only go to
-earlier turns. Places are counted in two steps (turns in ranges of RANGE, then within a range), so a conversation that
-holds many of all rows is not sorted in one task; original hashes are reduced to one row per (conversation, hash) before
-they are joined, so a passage that many messages share makes no pairs.
-
-Defined results: a null text is empty; a message with a null conversation or turn links to nothing, and comes first in the
-order; blank passages are not linked; rows that repeat (conversation, turn) are ordered by role and text; an empty table
-gives an empty result; extra columns are not read.
+earlier turns. Places are counted in three steps: turns in ranges of RANGE, turns and shares of a turn's messages (by hash)
+within a range, then messages within a share; so neither a conversation nor a turn that holds many of all rows is sorted in
+one task. Original hashes are reduced to one row per (conversation, hash) before they are joined, so a passage that many
+messages share makes no pairs.
+
+Messages are told apart by a number that is written with them, so rows that repeat or differ only in a null stay rows of
+their own.
+
+Defined results: a null text is empty; a message without a conversation is in none, so it links to nothing and has a null
+place; one without a turn links to nothing and comes first in its conversation; blank passages are not linked; messages that
+share (conversation, turn) follow each other in the order of a hash of role and text; an empty table gives an empty result;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 from skyloom.session import cut
 
 RANGE = 256
+#: Shares of one turn's messages.
+SHARES = 256
 QUOTE = r"^((?: ?>)+) ?"
 
 
@@ -41,7 +48,7 @@ def lines_of(text: Column) -> Column:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Adds uid, lines and own, the text without quotes."""
+    """Adds lines and own, the text without quotes."""
     lined = messages.withColumn("lines", lines_of(F.coalesce("text", F.lit(""))))
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["words"]), "\n")
     return lined.withColumn("own", F.regexp_replace(own, r"^\s+|\s+$", ""))
@@ -79,15 +86,21 @@ def links(parsed: DataFrame) -> DataFrame:
 
 
 def places(messages: DataFrame) -> DataFrame:
-    """Adds place, from 0, of each message in its conversation by turn, role and text. The messages move once."""
+    """Adds place, from 0, of each message in its conversation by turn and hash (the column h); null without a conversation. The
+    messages move once."""
     none = F.lit(-(1 << 63))
-    keys = {"ck": F.coalesce("conv_id", none), "cn": F.isnull("conv_id"), "rk": F.coalesce(F.floor(F.col("turn") / RANGE), none)}
-    ranged = messages.withColumns(keys)
-    counts = messages.select("conv_id", "turn").withColumns(keys).groupBy("ck", "cn", "rk").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("ck", "cn").orderBy("rk").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select("ck", "cn", "rk", F.coalesce(before, F.lit(0)).alias("base"))
-    at = F.row_number().over(Window.partitionBy("ck", "cn", "rk").orderBy(F.asc_nulls_first("turn"), "role", "own", "uid")) - 1
-    return ranged.withColumn("at", at).join(base, ["ck", "cn", "rk"]).withColumn("place", (F.col("base") + F.col("at")).cast("long"))
+    keys = {"ck": F.col("conv_id"), "rk": F.coalesce(F.floor(F.col("turn") / RANGE), none), "tk": F.coalesce("turn", none), "unset": F.isnull("turn"), "share": F.pmod("h", F.lit(SHARES))}
+    inside = messages.filter("conv_id is not null")
+    shares = inside.select("conv_id", "turn", "h").withColumns(keys).groupBy(*keys).agg(F.count("*").alias("n"))
+    ranges = shares.groupBy("ck", "rk").agg(F.sum("n").alias("n"))
+    before = lambda key, *order: F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = ranges.select("ck", "rk", before(["ck"], "rk").alias("range_base"))
+    within = shares.select(*keys, before(["ck", "rk"], F.desc("unset"), "tk", "share").alias("share_base"))
+    first = within.join(base, ["ck", "rk"]).select(*keys, (F.col("range_base") + F.col("share_base")).alias("base"))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "uid")) - 1
+    placed = inside.withColumns(keys).withColumn("at", at).join(first, list(keys)).withColumn("place", (F.col("base") + F.col("at")).cast("long"))
+    columns = [*messages.columns, "place"]
+    return placed.select(columns).unionByName(messages.filter("conv_id is null").withColumn("place", F.lit(None).cast("long")).select(columns))
 
 
 def link_quotes(conversations: DataFrame) -> DataFrame:
@@ -95,12 +108,13 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
 
     reply_to is the turn that the message answers; quotes and linked count its quoted passages; depth is its deepest quote.
     """
-    messages = conversations.select("conv_id", "turn", "role", "text").withColumn("uid", F.xxhash64("conv_id", "turn", "role", "text"))
-    parsed = cut(parse(messages).select("uid", "conv_id", "turn", "role", "own", passages(F.col("lines")).alias("passages")), "parsed")
+    messages = conversations.select("conv_id", "turn", "role", "text", F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("h"))
+    numbered = parse(messages).withColumn("uid", F.monotonically_increasing_id())
+    parsed = cut(numbered.select("uid", "h", "conv_id", "turn", "role", "own", passages(F.col("lines")).alias("passages")), "parsed")
     found = links(parsed).groupBy("uid").agg(
         F.max(F.struct((-F.col("level")).alias("near"), "original")).alias("b"), F.countDistinct("passage").alias("linked")
     ).select("uid", F.col("b.original").alias("reply_to"), "linked")
     depth = F.coalesce(F.array_max(F.transform("passages", lambda x: x["level"])), F.lit(0))
-    counted = parsed.select("uid", "conv_id", "turn", "role", "own", F.size("passages").cast("long").alias("quotes"), depth.cast("long").alias("depth"))
+    counted = parsed.select("uid", "h", "conv_id", "turn", "role", "own", F.size("passages").cast("long").alias("quotes"), depth.cast("long").alias("depth"))
     linked = places(counted).join(found, "uid", "left")
     return linked.select("conv_id", "place", "turn", "role", F.col("own").alias("text"), "reply_to", "quotes", F.coalesce("linked", F.lit(0)).cast("long").alias("linked"), "depth")

@@ -72,19 +72,23 @@ def test_intervals_cross_periods(spark):
 
 
 def test_warc_records_link_and_digest(spark):
-    html = '<html lang="en"><head><title> A &amp; B </title><style>p{}</style><script>var t="</p>";</script></head><body><!-- x --><p>One<br>two &lt;3&gt; <a href="/z">z</a></body></html>'
+    html = '<html lang="en"><head><title> A &amp; B </title><style>p{}</style><script>var t="</p>";</script></head><body><!-- x --><p>One<br>two &lt;3&gt; <a href="/z">z</a><p>caf&eacute;&#8212;&#x2014;&nbsp;&notin;&hellip;&amp;lt; &apos;&unknown;</body></html>'
     rows = [("<urn:uuid:1>", "http://e.org/", "2020-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\n", html, 1), ("<urn:uuid:2>", None, None, None, None, 2), ("<urn:uuid:3>", "u", "d", "h", "<p>" + "é " * 300_000, 3)]
     source = spark.createDataFrame(rows, "record_id string, uri string, date string, headers string, payload string, block int")
     got = {(r["refers_to"], r["warc_type"]): r for r in warc.derive(source).collect()}
     assert len(got) == 6 and len({r["record_id"] for r in got.values()}) == 6
     one = got["<urn:uuid:1>", "conversion"]
-    assert one["block"] == "A & B\nOne\ntwo <3> z"
+    assert one["block"] == "A & B\nOne\ntwo <3> z\ncafé—— ∉…&lt; '&unknown;"
+    head = one["warc_header"].split("\r\n")
+    assert head[0] == "WARC/1.1" and head[-2:] == ["", ""] and f"WARC-Record-ID: {one['record_id']}" in head and "WARC-Refers-To: <urn:uuid:1>" in head
+    assert f"Content-Length: {one['content_length']}" in head and f"WARC-Block-Digest: {one['block_digest']}" in head
+    assert not any("None" in r["warc_header"] or "URI" in r["warc_header"] for (ref, _), r in got.items() if ref == "<urn:uuid:2>")
     label = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
     for (ref, _), r in got.items():
         payload = next(x[4] for x in rows if x[0] == ref) or ""
         assert r["source_digest"] == label(payload.encode()) and r["block_digest"] == label(r["block"].encode())
         assert r["content_length"] == len(r["block"].encode())
-    assert "title: A &amp; B\r\nlanguage: en\r\noutlinks: 1\r\n" in got["<urn:uuid:1>", "metadata"]["block"]
+    assert "title: A & B\r\nlanguage: en\r\noutlinks: 1\r\n" in got["<urn:uuid:1>", "metadata"]["block"]
     assert got["<urn:uuid:1>", "metadata"]["source_headers"] == "HTTP/1.1 200 OK\r\n"
     assert got["<urn:uuid:2>", "conversion"]["block"] == ""
     assert warc.derive(source.limit(0)).count() == 0
@@ -109,7 +113,19 @@ def test_quotes_link_to_originals(spark):
     assert one[2]["text"] == "Thanks!" and (one[2]["reply_to"], one[2]["quotes"], one[2]["linked"], one[2]["depth"]) == (1, 3, 2, 2)
     assert (one[3]["reply_to"], one[3]["linked"]) == (0, 1)
     assert sorted((r["place"], r["text"]) for r in got if r["conv_id"] == 2) == [(0, "Use orderBy."), (1, ""), (2, "")]
-    assert [(r["reply_to"], r["text"]) for r in got if r["conv_id"] is None] == [(None, "hm")]
+    assert [(r["reply_to"], r["text"], r["place"]) for r in got if r["conv_id"] is None] == [(None, "hm", None)]
     assert [r["depth"] for r in got if r["conv_id"] == 3] == [3]
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert quotes.link_quotes(empty).count() == 0
+
+
+def test_rows_that_differ_in_a_null_are_rows_of_their_own(spark):
+    rows = [(1, 0, "a", "x"), (1, 1, None, "> x"), (1, 1, "> x", None), (1, None, "b", "late"), (1, None, None, None), *[(2, 3, "r", f"> q{i % 5}") for i in range(700)], (2, 1, "r", "q1\nq3")]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    one = {(r["turn"], r["role"], r["text"]): r for r in got if r["conv_id"] == 1}
+    assert (one[1, None, ""]["reply_to"], one[1, None, ""]["linked"]) == (0, 1)
+    assert (one[1, "> x", ""]["reply_to"], one[1, "> x", ""]["quotes"], one[1, "> x", ""]["linked"]) == (None, 0, 0)
+    assert sorted(one[k]["place"] for k in one if k[0] is None) == [0, 1] and one[0, "a", "x"]["place"] == 2
+    two = sorted((r for r in got if r["conv_id"] == 2), key=lambda r: r["place"])
+    assert [r["place"] for r in two] == list(range(701)) and two[0]["turn"] == 1
+    assert sum(r["linked"] for r in two) == 280
