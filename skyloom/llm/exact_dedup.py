@@ -5,7 +5,10 @@ Pass 2 looks every row up: a row whose cells are all set twice is possibly repea
 to be grouped by SHA-256; every other row is certainly alone and passes straight through.
 
 The filter is broadcast, so its size is bounded by ``filter_mb``. More rows than such a filter serves are handled in
-rounds over disjoint ranges of the hash, each with a filter of its own.
+rounds over disjoint ranges of the hash, each with a filter of its own; all of them lie in executors' memory or on their disks
+until the result has been read.
+
+Rows that may be repeated are written to the shared folder with a number each, so a lost executor can't number them anew.
 
 Defined results: a null text counts as empty; a null id sorts after every other id; of repeated rows with one id
 exactly one stays; an empty table gives an empty result; extra columns, whatever their names, pass through in ``row``.
@@ -109,18 +112,19 @@ def possibly_repeated(hashed: DataFrame, filter_mb: int = 256, bits_per_row: int
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_mb: int = 256) -> DataFrame:
-    """One row per input row: row (all input columns), id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_mb: int = 256, keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: row (the columns in keep, all by default), id, keep_id, group_size, kept, text_sha256.
 
     Rows with equal normalised texts form a group; the one with the smallest id stays.
     """
     text = normalised(F.col(text_col))
-    hashed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in (docs.columns if keep is None else keep)])
+    hashed = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
     flagged = possibly_repeated(hashed, filter_mb)
     alone = flagged.filter("not maybe").select(
         "row", "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    again = flagged.filter("maybe").withColumn("uid", F.monotonically_increasing_id())
+    again = cut(flagged.filter("maybe").select("row", "id", "text_sha256", F.monotonically_increasing_id().alias("uid")), "again")
     ids = again.groupBy("text_sha256", "id").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
     groups = ids.groupBy("text_sha256").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "n", "uid")).alias("first"), F.sum("n").alias("group_size"))
     groups = cut(groups, "groups")  # so that the join shuffles both sides itself, and can split a large group of copies

@@ -218,7 +218,7 @@ def op7_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal normalised texts of documents."""
-    out = exact_dedup(table(spark, sf_dir, "documents"))
+    out = exact_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
