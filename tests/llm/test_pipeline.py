@@ -10,7 +10,6 @@ import pandas as pd
 import __spark_entry__ as entry
 import corpus_pipeline
 from skyloom.llm import near_copies as N
-from skyloom.llm import simhash as S
 
 from test_dedup import brute_components
 from test_tokens import check_packing
@@ -52,8 +51,8 @@ def brute(docs, items):
     for d in sorted(left):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[d]), d)
     left = {d: left[d] for d in first.values()}
-    prints = dict(zip(left, S.fingerprints(list(left.values())).tolist()))
-    close = [(a, b) for a in left for b in left if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    grams = {d: set(zip(*(t.lower().split()[i:] for i in range(5)))) or {t.lower()} for d, t in left.items()}
+    close = [(a, b) for a in left for b in left if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
     label = brute_components(set(left), close)
     left = {d: t for d, t in left.items() if label[d] == d}
     plain = lambda t: f" {' '.join(re.findall(r'\w+', t.lower()))} "
