@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths in the shared folder that this process has written.
+_WRITTEN: list[str] = []
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -31,9 +33,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without: it gets a
+    temporary one."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.environ.get("SKYLOOM_SHARED_DIR") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         os.environ["SKYLOOM_SHARED_DIR"] = base
     return base.rstrip("/")
@@ -41,7 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/skyloom-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/skyloom-{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what new_path() and cut() have written so far; for when no result that reads it is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
