@@ -7,11 +7,12 @@ value, ``high`` the upper bits in unary, ``marks`` the place of every 64th one-b
 a look at ``marks`` and a short scan. Near 2 + log2(ids per document) bits a document, where a table of 64-bit offsets takes
 64. Readers take offsets from select() alone.
 
-Texts are encoded where they are read; ids, not texts, are then dealt by range. Spark writes the folder, so it may lie in any
-store and failed tasks leave nothing behind.
+Shards are ranges of ids, whose bounds come from quantiles of the id column. Texts are encoded where they are read; what
+moves to the shards is their token ids, not the texts. Spark writes the folder, so it may lie in any store and failed tasks
+leave nothing behind.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; rows with equal ids are ordered by
-XXH64 of the text, and are dealt by it too, so that one id's rows don't meet in one task; an empty table gives an empty
+XXH64 of the text, and an id (or null) that fills several shards is split by it; an empty table gives an empty
 store; columns other than the id and the text are not read.
 """
 
@@ -22,18 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.tokens import word_encoder
-from skyloom.session import cut
 
 #: A chunk is closed once it has so many documents or token ids.
 CHUNK_DOCS, CHUNK_IDS = 1 << 14, 1 << 20
 #: One-bits of ``high`` between two marks.
 EVERY = 64
 TEXTS = 1000
+#: Shards for each of Spark's shuffle partitions.
+SHARDS = 4
+#: The place of null ids among the bounds of shards.
+LEAST = -(1 << 63)
 
 SEQUENCE = "struct<n: int, low_bits: int, low: binary, high: binary, marks: binary>"
 CHUNK = f"shard int, chunk int, before long, n_docs int, nulls int, first long, doc_ids {SEQUENCE}, n_ids long, width int, ids binary, ends {SEQUENCE}"
@@ -93,8 +96,18 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) + low.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
 
-def _encode_rows(path: str, end: int):
-    """(id, h, text) -> (id, h, ids): the bytes of the ids, each as wide as the vocabulary needs."""
+def shards_of(ids: pa.Array, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The shard of each row, nondecreasing in (id, hash): the id's place among the bounds; an id that is several bounds has as
+    many shards, and its rows are dealt by hash."""
+    known = ids.fill_null(LEAST).to_numpy()
+    low, high = (np.searchsorted(bounds, known, side=x) for x in ("left", "right"))
+    share = hashes / 2.0**64 + 0.5
+    split = np.minimum(low + np.floor(share * (high - low + 1)).astype(np.int64), high)
+    return np.where((known == LEAST) & ids.is_valid().to_numpy(zero_copy_only=False), high, split)  # nulls come first
+
+
+def _encode_rows(path: str, end: int, bounds: np.ndarray):
+    """(id, h, text) -> (shard, id, h, ids): the bytes of the ids, each as wide as the vocabulary needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
@@ -104,7 +117,8 @@ def _encode_rows(path: str, end: int):
             for a in range(0, len(b), TEXTS):
                 some = b.slice(a, TEXTS)
                 ids = [np.frombuffer(x + tail, "<u4").astype(kind).tobytes() for x in encoder.encode(some.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(ids, pa.binary())], ["id", "h", "ids"])
+                shard = pa.array(shards_of(some.column(0), some.column(1).to_numpy(), bounds), pa.int32())
+                yield pa.RecordBatch.from_arrays([shard, some.column(0), some.column(1), pa.array(ids, pa.binary())], ["shard", "id", "h", "ids"])
 
     return run
 
@@ -116,7 +130,7 @@ def width_of(vocabulary: int) -> int:
 
 def _write_chunks(width: int, chunk_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, chunk, before = TaskContext.get().partitionId(), 0, 0
+        shard, chunk, before = -1, 0, 0
         docs: list[int | None] = []
         data: list[bytes] = []
         held = 0
@@ -139,7 +153,11 @@ def _write_chunks(width: int, chunk_docs: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds.values())], list(kinds))
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for of, doc, ids in zip(*(c.to_pylist() for c in b.columns)):
+                if of != shard:
+                    if docs:
+                        yield close()
+                    shard, chunk, before = of, 0, 0
                 docs.append(doc)
                 data.append(ids)
                 held += len(ids) // width
@@ -153,9 +171,12 @@ def _write_chunks(width: int, chunk_docs: int):
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", chunk_docs: int = CHUNK_DOCS) -> None:
     """Encode every whole text and write the store to path, in ascending id order."""
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    encoded = cut(texts.mapInArrow(_encode_rows(tokenizer_path, end), "id long, h long, ids binary"), "encoded")
-    ordered = encoded.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "ids")
+    shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = texts.agg(F.percentile_approx(F.coalesce("id", F.lit(LEAST)), [i / shards for i in range(1, shards)], 100 * shards).alias("b")).first()["b"]
+    encoded = texts.mapInArrow(_encode_rows(tokenizer_path, end, np.array(cuts or [], np.int64)), "shard int, id long, h long, ids binary")
+    ordered = encoded.repartition("shard").sortWithinPartitions("shard", "id", "h").select("shard", "id", "ids")
     ordered.mapInArrow(_write_chunks(width_of(word_encoder(tokenizer_path).size), chunk_docs), CHUNK).write.parquet(path)
 
 

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -73,6 +74,16 @@ def test_store_round_trip(spark, docs_of):
         at += len(ids)
 
 
+def test_shards_follow_the_order_and_split_a_frequent_id():
+    ids = pa.array([None, -(2**63), 1, 5, 5, 5, 5, 6, None, -(2**63)], pa.int64())
+    hashes = np.array([2**62, 0, 9, -(2**63), -(2**61), 0, 2**63 - 1, 0, -(2**63), -(2**63)], np.int64)
+    for bounds in ([], [5], [5, 5, 5], [-(2**63), -(2**63), 1, 5]):
+        shard = T.shards_of(ids, hashes, np.array(bounds, np.int64))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i].is_valid, ids[i].as_py() or 0, hashes[i]))
+        assert (np.diff(shard[order]) >= 0).all() and shard.max() <= len(bounds)
+    assert sorted(T.shards_of(ids, hashes, np.array([5, 5, 5]))[3:7].tolist()) == [0, 1, 2, 3]
+
+
 def test_empty_store(spark, docs_of):
     path = new_path(spark, "store")
     T.write_store(docs_of([]), path, PATH)
