@@ -31,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Letters and spaces of a labelled row up to which it is learned from, and the symbols of reference text per language at which
-#: no more rows are taken. Bounds of the sample; rows are taken whole.
+#: Characters of a labelled row up to which it is learned from, and those of reference text per language at which no more rows
+#: are taken. Bounds of the sample; rows are taken whole.
 LONGEST, REFERENCE = 5_000, 20_000
 #: Letters that have a symbol of their own; all others share one.
 LETTERS = 250
-SEGMENT = 512
+SEGMENT = 1024
 #: Symbols of text parsed at once.
 BATCH = 1 << 21
 OTHER, SPACE, FIRST = 0, 1, 2
@@ -231,7 +231,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
     """Texts to learn from, as words: of each label, whole rows with a letter outside the held-out fifth and of at most LONGEST
-    letters and spaces, first by hash of id and text, as many as REFERENCE symbols take; of a label without such rows its shortest
+    characters, first by hash of id and text, as many as REFERENCE characters take; of a label without such rows its shortest
     one. So the driver gets a bounded text per language.
 
     Hashes are halved until half of what is left would hold too little, so that only a bounded number of rows is sorted."""
@@ -239,7 +239,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "id is not null and lang is not null and text is not null"
     )
     learn = labelled.filter((F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0) & F.col("text").rlike(r"\p{L}"))
-    words = learn.select("lang", "id", F.xxhash64("id", "text").alias("h"), F.regexp_replace("text", r"\P{L}+", " ").alias("text")).withColumn("n", F.length("text"))
+    words = learn.select("lang", "id", F.xxhash64("id", "text").alias("h"), F.length("text").alias("n"), "text")
     place = F.col("h") / 2.0**64 + 0.5
     words = words.withColumn("level", F.least(F.lit(60), F.floor(-F.log2(F.greatest(place, F.lit(2.0**-61)))).cast("int")))
     short = F.col("n") <= LONGEST
@@ -264,7 +264,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = words.join(F.broadcast(asked), "lang").filter((F.col("single").isNull() & (F.col("level") >= F.col("least")) & short) | (F.col("id") == F.col("single")))
     need = Window.partitionBy("lang").orderBy("h", "id", "n").rowsBetween(Window.unboundedPreceding, -1)
     first = some.withColumn("before", F.coalesce(F.sum("n").over(need), F.lit(0))).filter(F.col("before") < REFERENCE)
-    for r in first.select("lang", "text", "h", "id").orderBy("lang", "h", "id", "text").collect():
+    for r in first.select("lang", F.regexp_replace("text", r"\P{L}+", " ").alias("text"), "h", "id").orderBy("lang", "h", "id", "text").collect():
         samples.setdefault(r["lang"], []).append(r["text"])
     return samples
 
