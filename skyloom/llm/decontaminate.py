@@ -53,7 +53,7 @@ FILTER_BITS, TIMES = 20, np.uint64(0x9E3779B97F4A7C15)
 #: The largest window of which a byte holds how many of its words have a bit.
 BYTE = 255
 #: Words whose windows are taken at once, and words whose hashes a task keeps.
-BATCH, KEEP = 1 << 15, 300_000
+BATCH, KEEP = 1 << 15, 200_000
 WORD = re.compile(r"\w+")
 
 FOUND = "doc_id long, item_id long, similarity double, first_word long, n_words int"

@@ -38,7 +38,7 @@ LONGEST, REFERENCE = 5_000, 20_000
 LETTERS = 250
 SEGMENT = 1024
 #: Symbols of text parsed at once.
-BATCH = 1 << 21
+BATCH = 1 << 20
 OTHER, SPACE, FIRST = 0, 1, 2
 #: The language of a text that has none.
 UNKNOWN = "und"

@@ -18,7 +18,7 @@ import numpy as np
 
 #: Pieces that an encoder keeps in each of two generations: the current one, and the one before, from which what is met
 #: again moves over; so frequent pieces stay and rare ones go.
-KEEP = 300_000
+KEEP = 200_000
 #: Characters that a piece may have to be kept: with KEEP, a bound in bytes.
 LONGEST = 40
 #: Marks that may end a word; a word and a run of these are separate pre-tokens.
@@ -33,9 +33,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.default = Tokenizer.from_file(path)  # for whole texts
-        self.tokenizer = Tokenizer.from_file(path)  # for pieces: lower-casing may have made a special token's string of another
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # in pieces, as lower-casing may have made a special token's string of another
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: For words of lower-case letters in composed form, which no normaliser changes and no pre-tokeniser splits.
         self.plain = Tokenizer.from_file(path)
@@ -89,8 +88,10 @@ class WordEncoder:
         whole = {i: t for i, t in enumerate(texts) if t and "<|" in t and any(s in t for s in self.special)}
         if whole:
             got = self._encode_texts([None if i in whole else t for i, t in enumerate(texts)])
-            for i, e in zip(whole, self.default.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
+            self.tokenizer.encode_special_tokens = False
+            for i, e in zip(whole, self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
                 got[i] = np.array(e.ids, "<u4").tobytes()
+            self.tokenizer.encode_special_tokens = True
             return got
         return self._encode_texts(texts)
 
