@@ -6,7 +6,7 @@ numbers the lines of each (processor, message), so its windows hold one processo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINE = r"^(\d+): cap (\d+): (\w+) ((?:\[[^\]]*\] ?)*)(.*)$"
@@ -83,10 +83,10 @@ def time_shares(totals: DataFrame) -> DataFrame:
     return totals.withColumn("share", F.col("t") / F.sum("t").over(Window.partitionBy()))
 
 
-def align_clocks(entries: DataFrame, log: str) -> DataFrame:
-    """Times relative to the first of each log: the minimum per log is joined back, so a long log isn't held in one task."""
-    first = entries.groupBy(log).agg(F.min("ts").alias("first_ts"))
-    return entries.join(first, log).withColumn("ts", F.col("ts") - F.col("first_ts")).drop("first_ts")
+def align_clocks(entries: DataFrame) -> DataFrame:
+    """Times relative to the first of all logs, so that offsets between logs stay; the minimum is one number."""
+    first = entries.agg(F.min("ts")).first()[0]
+    return entries.withColumn("ts", F.col("ts") - F.lit(first))
 
 
 def iterations(entries: DataFrame, log: str, init: str, step: str) -> DataFrame:
@@ -101,13 +101,37 @@ def busy_timeline(calls: DataFrame, row: str) -> DataFrame:
     return calls.withColumn("busy", F.coalesce(F.sum(F.col("stop") - F.col("start")).over(before), F.lit(0)))
 
 
-def expand_nodes(df: DataFrame, column: str) -> DataFrame:
-    """Node lists ``name[1-3,07]`` as a row per node, zero padding kept."""
-    name, inner = F.regexp_extract(column, r"^([^\[]*)", 1), F.regexp_extract(column, r"\[([^\]]*)\]", 1)
-    part = df.withColumn("name", name).withColumn("part", F.explode(F.split(inner, ",")))
-    lo = F.regexp_extract("part", r"^(\d*)", 1)
-    hi = F.coalesce(F.nullif(F.regexp_extract("part", r"-(\d+)$", 1), F.lit("")), lo)
-    number = F.explode(F.sequence(lo.try_cast("long"), hi.try_cast("long")))
-    numbered = part.filter(F.col("part").rlike(r"^\d+(-\d+)?$")).withColumn("width", F.length(lo)).withColumn("number", number)
-    several = numbered.select(*df.columns, F.concat("name", F.lpad(F.col("number").cast("string"), F.greatest("width", F.length(F.col("number").cast("string"))), F.lit("0"))).alias("node"))
-    return several.unionByName(df.filter(~F.col(column).contains("[")).withColumn("node", F.col(column)))
+def suffixed(entries: DataFrame, *suffixes: str) -> DataFrame:
+    """Entries whose message ends in one of the suffixes: a kernel is told by the end of its name."""
+    held = F.lit(False)
+    for suffix in suffixes:
+        held = held | F.col("msg").endswith(suffix)
+    return entries.filter(held)
+
+
+def counter_families(attrs: Column) -> Column:
+    """Array of (family, name, value, time) of an attribute map with keys such as ``hint:gpu-double-ops`` or ``perf:scalar-double``.
+    A value ``v/t`` is a counter with the time it was measured over; a plain one has no time; one that is no number has neither."""
+    entry = lambda e: F.struct(
+        F.when(e["key"].contains(":"), F.substring_index(e["key"], ":", 1)).alias("family"),
+        F.substring_index(e["key"], ":", -1).alias("name"),
+        F.substring_index(e["value"], "/", 1).try_cast("double").alias("value"),
+        F.when(e["value"].contains("/"), F.substring_index(e["value"], "/", -1).try_cast("double")).alias("time"),
+    )
+    return F.transform(F.map_entries(attrs), entry)
+
+
+def text_attributes(attrs: Column) -> Column:
+    """Map of the ``[name=value]`` attributes of a line, values as text; the last of a name holds."""
+    pairs = F.regexp_extract_all(attrs, F.lit(r"\[([^=\]]+)=([^\]]*)\]"), 0)
+    named = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"\[([^=\]]+)=", 1).alias("key"), F.regexp_extract(p, r"=([^\]]*)\]", 1).alias("value")))
+    keys = F.array_distinct(F.transform(named, lambda e: e["key"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(named, lambda e: e["key"] == k), -1)["value"])))
+
+
+def device_metrics(calls: DataFrame) -> DataFrame:
+    """(msg, n, kernel_time, transfer_time, transferred, flops, rate): device work per kernel from the ``cuda`` counters of its
+    calls (time in ns in kernels, time and bytes of copies, floating point operations), with operations a second of kernel time."""
+    c = lambda name: F.coalesce(F.sum(name), F.lit(0.0))
+    sums = calls.groupBy("msg").agg(F.count("*").alias("n"), *[c(x).alias(x) for x in ("kernel_time", "transfer_time", "transferred", "flops")])
+    return sums.withColumn("rate", F.when(F.col("kernel_time") > 0, F.col("flops") / F.col("kernel_time") * 1e9))

@@ -89,10 +89,11 @@ def l12_error_class(spark, sf_dir):
     return sums.select("pid", "val", "hint", L.error_class("val", "hint").alias("class"), F.round(L.efficiency("val", "hint", "seconds") * 1e9, 6).alias("efficiency"))
 
 
-@query(f"with {LOG} select pid, msg, start - min(start) over (partition by pid) as ts from log")
+@query(f"with {LOG} select pid, msg, start - min(start) over () as ts from log")
 def l16_align_clocks(spark, sf_dir):
+    """Times from the first entry of all processors."""
     starts = entries(spark, sf_dir).filter("tag = 'START'")
-    return L.align_clocks(starts, "pid").select("pid", "msg", "ts")
+    return L.align_clocks(starts).select("pid", "msg", "ts")
 
 
 @query(f"with {LOG}, i as (select pid, min(start) as t0 from log where msg = 'signup' group by pid) select pid, start as ts, start - t0 as since from log join i using (pid) where msg = 'purchase'")
@@ -159,3 +160,46 @@ def l8_io_metrics(spark, sf_dir):
         F.sum(F.col("stop") - F.col("start")).alias("t"),
         F.sum(F.when(F.col("scalar") > 50, F.col("scalar")).otherwise(0.0)).alias("large"),
     )
+
+
+@query(f"with {LOG} select msg, count(*) as n, min(start) as first from log where ends_with(msg, 'ck') or ends_with(msg, 'up') group by msg")
+def l10_suffix_filter(spark, sf_dir):
+    """Entries of kernels whose name ends in one of two suffixes."""
+    starts = L.suffixed(entries(spark, sf_dir).filter("tag = 'START'"), "ck", "up")
+    return starts.groupBy("msg").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+
+
+def device_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(msg, attrs): a line per event with attributes of four families; counters carry the time that they were measured over."""
+    e = table(spark, sf_dir, "events")
+    k, took = F.col("event_id"), F.floor("value")
+    attrs = F.format_string("[hint:ops=%d] [hint:ops=%d] [perf:sse=%d/%d] [cuda:kernel=%d] [cuda:copy=%d/%d] [cuda:flops=%d] [note=x%d] ", k % 7, k % 11, k % 31, took + 1, took, k % 5, k % 13, k % 97, k % 3)
+    return e.select(F.col("event_type").alias("msg"), L.text_attributes(attrs).alias("attrs"))
+
+
+_DEVICE = "d as (select event_type as msg, event_id as k, cast(floor(value) as bigint) as took from events)"
+
+
+@query(
+    f"""with {_DEVICE}, f as (select unnest([{{'family': 'hint', 'name': 'ops', 'value': k % 11, 'time': null}}, {{'family': 'perf', 'name': 'sse', 'value': k % 31, 'time': took + 1}},
+    {{'family': 'cuda', 'name': 'kernel', 'value': took, 'time': null}}, {{'family': 'cuda', 'name': 'copy', 'value': k % 5, 'time': k % 13}},
+    {{'family': 'cuda', 'name': 'flops', 'value': k % 97, 'time': null}}, {{'family': null, 'name': 'note', 'value': null, 'time': null}}]) as x from d)
+    select x.family, x.name, count(*) as n, cast(sum(x.value) as double) as total, cast(sum(x.time) as double) as t from f group by all"""
+)
+def l3_attribute_families(spark, sf_dir):
+    """Attributes by family and name, with the sums of their values and times; the last hint of a name holds."""
+    each = device_lines(spark, sf_dir).select(F.explode(L.counter_families(F.col("attrs"))).alias("x"))
+    return each.groupBy("x.family", "x.name").agg(F.count("*").alias("n"), F.sum("x.value").alias("total"), F.sum("x.time").alias("t"))
+
+
+@query(
+    f"""with {_DEVICE} select msg, count(*) as n, cast(sum(took) as double) as kernel_time, cast(sum(k % 13) as double) as transfer_time, cast(sum(k % 5) as double) as transferred,
+    cast(sum(k % 97) as double) as flops, round(case when sum(took) > 0 then cast(sum(k % 97) as double) / sum(took) * 1e9 end, 3) as rate from d group by msg"""
+)
+def l7_device_metrics(spark, sf_dir):
+    """Device time, copies and operation rate per kernel."""
+    found = F.col("counters")
+    of = lambda name, part: F.element_at(F.filter(found, lambda x: (x["family"] == "cuda") & (x["name"] == name)), 1)[part]
+    calls = device_lines(spark, sf_dir).select("msg", L.counter_families(F.col("attrs")).alias("counters"))
+    named = calls.select("msg", of("kernel", "value").alias("kernel_time"), of("copy", "time").alias("transfer_time"), of("copy", "value").alias("transferred"), of("flops", "value").alias("flops"))
+    return L.device_metrics(named).withColumn("rate", F.round("rate", 3))
