@@ -29,9 +29,12 @@ def bin_sizes(vis: DataFrame, bins: int, width: int) -> DataFrame:
     return vis.groupBy(tile(F.col("u"), width).alias("tile_u"), tile(F.col("v"), width).alias("tile_v"), w_bin(F.col("w"), lo, hi, bins).alias("wbin")).agg(F.count("*").alias("n"))
 
 
-def split_bins(bins: DataFrame, low: str, parts: int, ends: tuple[float, float]) -> DataFrame:
-    """Adds part: the interval of equal value width that holds a bin's low edge."""
-    return bins.withColumn("part", w_bin(F.col(low), ends[0], ends[1], parts))
+def split_bins(bins: DataFrame, low: str, high: str, parts: int) -> DataFrame:
+    """Adds part: the interval that holds a bin's low edge when the range from the first low to the last high edge is cut into
+    parts of equal width. The ends are one row."""
+    ends = bins.agg(F.min(low).alias("first"), F.max(high).alias("last")).first()
+    width = ((ends["last"] or 0) - (ends["first"] or 0)) or 1
+    return bins.withColumn("part", F.least(F.lit(parts - 1), F.floor((F.col(low) - F.lit(ends["first"] or 0)) * parts / width)).cast("int"))
 
 
 def with_margin(vis: DataFrame, width: int, margin: int) -> DataFrame:
@@ -71,3 +74,12 @@ def densify(sparse: DataFrame, n: int, width: int) -> DataFrame:
     """(tile, x, v) of a sparse array of n cells as a dense one, tile by tile; absent cells are zero."""
     held = sparse.groupBy("x").agg(F.sum("v").alias("v"))
     return sparse.sparkSession.range(n).select(F.col("id").alias("x")).join(held, "x", "left").select(tile(F.col("x"), width).alias("tile"), "x", F.coalesce("v", F.lit(0)).alias("v"))
+
+
+def plane_order(ends: DataFrame, key: str, wstep: float) -> DataFrame:
+    """(key, least_plane, plane, place, place_abs) from (key, lo, hi), the ends of w: the least plane covered, half to even, its
+    sign, and the places by plane and by absolute plane. One row a baseline or timestep."""
+    least = F.when(F.col("lo") > 0, F.rint(F.col("lo") / wstep)).when(F.col("hi") < 0, F.rint(-F.col("hi") / wstep)).otherwise(0).cast("int")
+    planes = ends.select(key, least.alias("least_plane"), F.when(F.col("hi") < 0, -least).otherwise(least).alias("plane"))
+    place = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("long")
+    return planes.withColumns({"place": place("plane", key), "place_abs": place(F.abs("plane"), "plane", key)})

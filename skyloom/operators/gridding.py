@@ -70,13 +70,18 @@ def gather_grid(vis: DataFrame, gcf: DataFrame, size: int) -> DataFrame:
     return fan.groupBy((F.col("x") + F.col("su")).alias("x"), F.col("row").alias("y")).agg(F.sum(gre).alias("gre"), F.sum(gim).alias("gim"), F.sum("n").alias("n"))
 
 
-def w_grid(vis: DataFrame, gcf: DataFrame, growth: int, least: int, most: int, grid_size: int, wstep: float) -> DataFrame:
-    """W-dependent gridding: the support of a visibility follows its w-plane, least + growth * plane, most at most; the table is
-    centred on it, and a negative w takes the conjugate."""
+def w_support(vis: DataFrame, growth: int, least: int, most: int, wstep: float, of: str | None = None) -> DataFrame:
+    """Adds support: least + growth * w-plane, most at most; with ``of``, the greatest among the rows that share that column."""
     wp = F.round(F.abs("w") / wstep).cast("int")
-    support = F.least(F.lit(most), F.lit(least) + F.lit(growth) * wp)
+    own = vis.withColumn("support", F.least(F.lit(most), F.lit(least) + F.lit(growth) * wp))
+    return own if of is None else own.drop("support").join(own.groupBy(of).agg(F.max("support").alias("support")), of)
+
+
+def w_grid(vis: DataFrame, gcf: DataFrame, growth: int, least: int, most: int, grid_size: int, wstep: float, of: str | None = None) -> DataFrame:
+    """W-dependent gridding: the support of a visibility follows its w-plane, or with ``of`` the greatest of its baseline; the
+    table is centred on it, and a negative w takes the conjugate."""
     us = F.floor("u")
-    placed = vis.withColumns({"support": support, "ou": F.floor((F.col("u") - us) * 8).cast("int"), "ov": F.floor((F.col("v") - F.floor("v")) * 8).cast("int"), "neg": F.col("w") < 0})
+    placed = w_support(vis, growth, least, most, wstep, of).withColumns({"ou": F.floor((F.col("u") - us) * 8).cast("int"), "ov": F.floor((F.col("v") - F.floor("v")) * 8).cast("int"), "neg": F.col("w") < 0})
     placed = placed.withColumns({"x": (us + grid_size // 2).cast("int") - F.floor(F.col("support") / 2).cast("int"), "y": (F.floor("v") + grid_size // 2).cast("int") - F.floor(F.col("support") / 2).cast("int")})
     fits = placed.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < grid_size - F.col("support")) & (F.col("y") < grid_size - F.col("support")))
     sums = fits.groupBy(*CELL, "support", "neg").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -143,6 +144,13 @@ def dense(image: DataFrame, n: int) -> DataFrame:
 
 
 def pixel_area_ratio(out_cd: list[list[float]], in_cd: list[list[float]]) -> float:
-    """Area of an output pixel in input pixels."""
-    area = lambda m: abs(m[0][0] * m[1][1] - m[0][1] * m[1][0])
+    """Area of an output pixel in input pixels; a pixel's sides are the lengths of its scale matrix's columns."""
+    area = lambda m: math.hypot(m[0][0], m[1][0]) * math.hypot(m[0][1], m[1][1])
     return area(out_cd) / area(in_cd)
+
+
+def centre_odd(kernel: DataFrame, half: int, over: int) -> DataFrame:
+    """A kernel of odd size 2 * half + 1 about the centre of its oversampled array, whose size is over times as large; the rest
+    of the array is zero, so absent."""
+    move = (2 * half + 1) * over // 2 - half
+    return kernel.withColumns({"y": F.col("y") + move, "x": F.col("x") + move})

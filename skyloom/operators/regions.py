@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +40,14 @@ def as_of(points: DataFrame, steps: DataFrame, at: str, key: str) -> DataFrame:
     return points.withColumn("step", F.try_element_at(F.filter(arr, lambda s: s[key] <= F.col(at)), F.lit(-1))).select("*", "step.*").drop("step")
 
 
-def balance(times: list[float], nodes: int) -> list[int]:
-    """Nodes per item, each at least one, with the least greatest time per node; the first such allocation in order."""
-    best: tuple[float, list[int]] | None = None
-    for cuts in combinations(range(1, nodes), len(times) - 1):
-        own = [b - a for a, b in zip((0, *cuts), (*cuts, nodes))]
-        worst = max(t / k for t, k in zip(times, own))
-        if best is None or worst < best[0]:
-            best = worst, own
-    if best is None:
-        raise ValueError("fewer nodes than items")
-    return best[1]
+def least_span(work: DataFrame, size: str, parts: int) -> DataFrame:
+    """Adds nodes and span: the least span such that items of ``size``, each cut into ceil(size / span) nodes, take at most
+    ``parts`` nodes in all. Candidates are size / k, parts of them an item, so items are few by contract; null where no span does."""
+    each = work.select(F.col(size).cast("double").alias("size"))
+    spans = each.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda k: F.col("size") / k)).alias("span")).distinct()
+    needs = F.ceil(F.col("size") / F.col("span"))
+    best = each.join(F.broadcast(spans)).groupBy("span").agg(F.sum(needs).alias("n")).filter(F.col("n") <= parts).agg(F.min("span").alias("least"))
+    return work.join(F.broadcast(best)).withColumns({"nodes": F.ceil(F.col(size) / F.col("least")).cast("int"), "span": F.col("least")}).drop("least")
 
 
 def shares(items: DataFrame, order: str, weight: str, total: int) -> DataFrame:

@@ -61,3 +61,13 @@ def linear_partition(sums: list[tuple[int, float]], parts: int) -> list[int]:
         out[a:z] = [k] * (z - a)
         z = a
     return out
+
+
+def chunks(df: DataFrame, index: str, size: int) -> DataFrame:
+    """Adds chunk: consecutive indexes in chunks of a size, by arithmetic rather than by a sort."""
+    return df.withColumn("chunk", F.floor(F.col(index) / size))
+
+
+def fold(values: Column, zero: Column, step, finish=None) -> Column:
+    """Left fold of an array column."""
+    return F.aggregate(values, zero, step, finish) if finish else F.aggregate(values, zero, step)

@@ -12,10 +12,9 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return words.filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def reducer_of(word: str, reducers: int):
-    """The reducer that the classic router sends a word to, by its first letter from a to z; others go to the nearest end."""
-    letter = F.greatest(F.lit(0), F.least(F.lit(25), F.ascii(word) - F.ascii(F.lit("a"))))
-    return F.floor(letter * reducers / 26).cast("int")
+def by_initial(counts: DataFrame) -> DataFrame:
+    """(initial, words, keys): words in all and distinct ones by first letter."""
+    return counts.groupBy(F.substring("word", 1, 1).alias("initial")).agg(F.sum("n").alias("words"), F.count("*").alias("keys"))
 
 
 def top_words(counts: DataFrame, n: int = 1000) -> DataFrame:

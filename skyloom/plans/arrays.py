@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.operators import binning as B
-from skyloom.operators import collectives as C
 from skyloom.operators import regions as R
 from skyloom.operators import vectors as V
 from skyloom.operators import words as W
-from skyloom.session import table
+from skyloom.session import cut, table
 from skyloom.sources.tables import vector_slice
 
 QUERIES: dict = {}
@@ -103,7 +102,23 @@ def m23_dense_tiles(spark, sf_dir):
     return B.densify(s, n, 500)
 
 
-@query()
+def _partition_sql(parts: int) -> str:
+    """The dynamic programme over prefix sums, a table per part; then the cuts from the last part to the first."""
+    months = "m as (select year(o_orderdate) * 12 + month(o_orderdate) - 1 as m, sum(o_totalprice) as s from orders group by all)"
+    sums = "p as (select 0 as i, cast(0 as double) as p union all select row_number() over (order by m) as i, sum(s) over (order by m) as p from m)"
+    out = [months, "n as (select *, row_number() over (order by m) as i from m)", sums, "c1 as materialized (select i, p as cost, cast(0 as bigint) as back from p)"]
+    for k in range(2, parts + 1):
+        out.append(
+            f"c{k} as materialized (select j.i, min(greatest(c.cost, j.p - a.p)) as cost, arg_min(a.i, (greatest(c.cost, j.p - a.p), a.i)) as back from p j join p a on a.i < j.i join c{k - 1} c on c.i = a.i group by j.i union all select 0, 0, 0)"
+        )
+    out.append(f"z{parts} as (select max(i) as z from p)")
+    for k in range(parts, 1, -1):
+        out.append(f"z{k - 1} as (select back as z from c{k}, z{k} where i = z)")
+    first = " + ".join(f"cast(i > (select z from z{k}) as integer)" for k in range(1, parts))
+    return f"with {', '.join(out)} select cast(m as integer) as m, {first} as part, round(s, 2) as s from n"
+
+
+@query(_partition_sql(12))
 def m22_linear_partition(spark, sf_dir):
     """Months of orders in twelve contiguous parts with the least greatest revenue; the programme sees one sum a month."""
     months = table(spark, sf_dir, "orders").groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).alias("m")).agg(F.sum("o_totalprice").alias("s"))
@@ -111,7 +126,7 @@ def m22_linear_partition(spark, sf_dir):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("m")
         part = np.array(V.linear_partition(list(zip(pdf["m"], pdf["s"])), 12), np.int32)
-        return pd.DataFrame({"m": pdf["m"].astype(np.int32), "part": part, "s": pdf["s"]})
+        return pd.DataFrame({"m": pdf["m"].astype(np.int32), "part": part, "s": pdf["s"].round(2)})
 
     return months.groupBy().applyInPandas(solve, "m int, part int, s double")
 
@@ -127,14 +142,10 @@ def o10_top_words(spark, sf_dir):
     return W.top_words(W.word_counts(table(spark, sf_dir, "documents")))
 
 
-@query(
-    """select cast(floor(greatest(0, least(25, ascii(w) - 97)) * 4 / 26) as integer) as reducer, count(*) as words, count(distinct w) as keys
-    from (select unnest(string_split_regex(lower(text), '\\P{L}+')) as w from documents) where w <> '' group by all"""
-)
+@query("select substr(w, 1, 1) as initial, count(*) as words, count(distinct w) as keys from (select unnest(string_split_regex(lower(text), '\\P{L}+')) as w from documents) where w <> '' group by all")
 def d15_word_routing(spark, sf_dir):
-    """How evenly the classic first-letter router would deal words to four reducers."""
-    counts = W.word_counts(table(spark, sf_dir, "documents"))
-    return counts.groupBy(W.reducer_of("word", 4).alias("reducer")).agg(F.sum("n").alias("words"), F.count("*").alias("keys"))
+    """Words by their initial letter, by which a map-reduce over words would deal them."""
+    return W.by_initial(W.word_counts(table(spark, sf_dir, "documents")))
 
 
 _SIDES = "a as (select o_custkey as k, count(*) as n, 'orders' as side from orders where o_orderpriority = '1-URGENT' and o_custkey % 3 > 0 group by o_custkey), b as (select c_custkey as k, cast(0 as bigint) as n, 'customer' as side from customer where c_custkey % 4 > 0)"
@@ -215,42 +226,38 @@ def x6_shares(spark, sf_dir):
 
 @query(
     """with w as (select n_regionkey as region, count(*) as n from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey group by all),
-    l as (select list(region order by region) as r, list(n order by region) as n from w),
-    k as (select [a, b, c, d, 16 - a - b - c - d] as k from range(1, 13) x1(a), range(1, 13) x2(b), range(1, 13) x3(c), range(1, 13) x4(d) where a + b + c + d < 16),
-    best as (select r, n, k from l, k order by list_max(list_transform(range(1, 6), lambda i: n[i] / k[i])), k limit 1)
-    select r[i] as region, n[i] as n, k[i] as nodes, n[i] / k[i] as span from best, range(1, 6) x(i)"""
+    s as (select distinct n / k as span from w, range(1, 17) r(k)), f as (select span from s, w group by span having sum(ceil(n / span)) <= 16)
+    select region, n, cast(ceil(n / span) as integer) as nodes, span from w, (select min(span) as span from f)"""
 )
 def x5_balance(spark, sf_dir):
-    """Sixteen nodes for the five regions, so that the greatest number of orders per node is least."""
+    """The least number of orders a share at which the five regions' orders make at most sixteen shares."""
     customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")), "c_nationkey")
-    orders = table(spark, sf_dir, "orders").join(customers.select(F.col("c_custkey").alias("o_custkey"), "n_regionkey"), "o_custkey")
-    work = sorted(orders.groupBy("n_regionkey").agg(F.count("*").alias("n")).collect())  # one row a region
-    nodes = R.balance([float(r["n"]) for r in work], 16) if work else []
-    return spark.createDataFrame([(r["n_regionkey"], r["n"], k, r["n"] / k) for r, k in zip(work, nodes)], "region int, n long, nodes int, span double")
+    orders = table(spark, sf_dir, "orders").join(customers.select(F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").alias("region")), "o_custkey")
+    return R.least_span(cut(orders.groupBy("region").agg(F.count("*").alias("n")), "work"), "n", 16)
 
 
-@query("select rank, case when rank = 7 then null else s end as s, rank = 7 as failed from (select l_suppkey % 50 as rank, sum(l_quantity) as s from lineitem group by all)")
+@query("select l_suppkey % 50 as rank, sum(l_quantity) filter (where l_discount < 0.1) as s, count(*) filter (where l_discount >= 0.1) as failed from lineitem group by all")
 def d10_failout(spark, sf_dir):
-    """Partial sums by region (a partial aggregate first, so regions are small); one region's kernel fails and is named, the others go on."""
-    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("rank"), "l_suppkey").agg(F.sum("l_quantity").alias("x"))
+    """Sums by region that go on without rows that fail a check, and how many those are."""
+    valid = F.col("l_discount") < 0.1
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("rank")).agg(F.sum(F.when(valid, F.col("l_quantity"))).alias("s"), F.count_if(~valid).alias("failed"))
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["rank"].iloc[0] == 7:
-            raise RuntimeError("region lost")
-        return pd.DataFrame({"rank": [pdf["rank"].iloc[0]], "s": [pdf["x"].sum()]})
 
-    out = C.per_region(rows, ["rank"], kernel, "rank long, s double", failout=True)
-    return out.select("rank", "s", F.col("failed").isNotNull().alias("failed"))
+@query("select l_suppkey as k, count(*) as n, count(*) filter (where l_orderkey * 10 >= 20000 and l_orderkey * 10 + l_linenumber * 40 <= 90000) as inside from lineitem group by all")
+def u4_subset(spark, sf_dir):
+    """By supplier: ranges, and those that lie within another range."""
+    lo, hi = F.col("l_orderkey") * 10, F.col("l_orderkey") * 10 + F.col("l_linenumber") * 40
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("n"), F.count_if(R.subset(lo, hi, F.lit(20000), F.lit(90000))).alias("inside"))
 
 
 @query("select l_orderkey // 1000 as chunk, count(*) as n, sum(l_quantity) as s from lineitem group by all")
 def o7_chunks(spark, sf_dir):
     """Sums of consecutive chunks of a thousand order keys."""
-    return C.chunks(table(spark, sf_dir, "lineitem"), "l_orderkey", 1000).groupBy("chunk").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("s"))
+    return V.chunks(table(spark, sf_dir, "lineitem"), "l_orderkey", 1000).groupBy("chunk").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("s"))
 
 
 @query("select vec_id, list_sum(list_transform(embedding, lambda x: cast(floor(x * 1000) as bigint))) as folded from embeddings")
 def a2_fold(spark, sf_dir):
     """Left fold over each embedding."""
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000))
-    return table(spark, sf_dir, "embeddings").select("vec_id", C.fold(whole, F.lit(0).cast("long"), lambda s, x: s + x).alias("folded"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.fold(whole, F.lit(0).cast("long"), lambda s, x: s + x).alias("folded"))

@@ -420,7 +420,7 @@ def m18_reproject(spark, sf_dir):
     return out.withColumn("val", F.round(F.col("val") + OFF_TIES, 4) + 0.0)
 
 
-@query(f"{_IMG}, p as (select y + 3 as y, x + 5 as x, gre as p from grid) select grid.y, grid.x, gre - 0.5 * coalesce(p, 0) as val from grid left join p on p.y = grid.y and p.x = grid.x")
+@query(f"{_IMG.replace('grid as (', 'grid as materialized (')}, p as materialized (select y + 3 as y, x + 5 as x, gre as p from grid) select grid.y, grid.x, gre - 0.5 * coalesce(p, 0) as val from grid left join p on p.y = grid.y and p.x = grid.x")
 def m17_subtract_shifted(spark, sf_dir):
     image = cut(gridded(spark, sf_dir).select("y", "x", F.col("gre").alias("val")), "image")
     return M.subtract_shifted(image, image, 3, 5, 0.5)
@@ -482,10 +482,59 @@ def o5_block_sort(spark, sf_dir):
     return B.sort_into_blocks(T.visibilities(spark, sf_dir), 16).select("block_y", "block_x", F.col("sub").cast("int").alias("sub"), "vis_id", "u", "v")
 
 
-@query(f"with {D.VIS}, r as (select least(0, min(w)) as lo, greatest(0, max(w)) as hi from vis), b as (select greatest(0, least(39, cast(floor((w - lo) / (hi + (hi - lo) * 1e-4 - lo) * 40) as integer))) as wbin, min(w) as w_low, count(*) as n from vis, r group by all) select greatest(0, least(3, cast(floor((w_low - lo) / (hi + (hi - lo) * 1e-4 - lo) * 4) as integer))) as part, count(*) as bins, cast(sum(n) as bigint) as n from b, r group by all")
+@query(
+    f"""with {D.VIS}, r as (select least(0, min(w)) as lo, greatest(0, max(w)) as hi from vis), b as (select greatest(0, least(39, cast(floor((w - lo) / (hi + (hi - lo) * 1e-4 - lo) * 40) as integer))) as wbin, count(*) as n
+    from vis, r where w > -120 group by all), e as (select min(wbin) as a, max(wbin) + 1 as z from b) select cast(floor((wbin - a) * 4 / (z - a)) as integer) as part, count(*) as bins, cast(sum(n) as bigint) as n from b, e group by all"""
+)
 def f8_split_bins(spark, sf_dir):
-    """Forty w-bins split in four intervals of equal width by their low edge."""
+    """The w-bins that hold points above a bound, split in four intervals of equal width between the first and the last of them."""
     vis = T.visibilities(spark, sf_dir)
-    ends = B.w_range(vis)
-    bins = vis.groupBy(B.w_bin(F.col("w"), *ends, 40).alias("wbin")).agg(F.min("w").alias("w_low"), F.count("*").alias("n"))
-    return B.split_bins(bins, "w_low", 4, ends).groupBy("part").agg(F.count("*").alias("bins"), F.sum("n").alias("n"))
+    bins = vis.filter("w > -120").groupBy(B.w_bin(F.col("w"), *B.w_range(vis), 40).alias("wbin")).agg(F.count("*").alias("n"))
+    return B.split_bins(bins.withColumn("end", F.col("wbin") + 1), "wbin", "end", 4).groupBy("part").agg(F.count("*").alias("bins"), F.sum("n").alias("n"))
+
+
+@query(
+    f"""with {D.VIS}, {D.GCF}, s as (select *, max(least(8, 4 + cast(round(abs(w) / 100.0) as integer))) over (partition by t) as support, cast(floor((u - floor(u)) * 8) as integer) as ou,
+    cast(floor((v - floor(v)) * 8) as integer) as ov, cast(floor(u) as integer) + 128 as px, cast(floor(v) as integer) + 128 as py from vis),
+    p as (select *, px - support // 2 as x, py - support // 2 as y, (8 - support) // 2 as start from s),
+    f as (select * from p where x >= 0 and y >= 0 and x < 256 - support and y < 256 - support)
+    select x + su - start as x, y + sv - start as y, sum(re * gr - im * (case when w < 0 then -gi else gi end)) as gre,
+    sum(re * (case when w < 0 then -gi else gi end) + im * gr) as gim, count(*) as n
+    from f join gcf using (ou, ov) where su between start and start + support - 1 and sv between start and start + support - 1 group by all"""
+)
+def a9_shared_support(spark, sf_dir):
+    """W-dependent gridding at the greatest support among the points of a timestep."""
+    return G.w_grid(T.visibilities(spark, sf_dir), T.convolution_table(spark), 1, 4, 8, GRID, 100.0, of="t")
+
+
+@query(
+    f"""with {D.VIS}, b as (select t, min(w) as lo, max(w) as hi from vis where t % 3 > 0 and w > 30 or t % 3 = 0 and w < -40 group by t),
+    p as (select t, lo, hi, cast(case when lo > 0 then round_even(lo / 25.0, 0) when hi < 0 then round_even(-hi / 25.0, 0) else 0 end as integer) as least_plane from b),
+    s as (select *, case when hi < 0 then -least_plane else least_plane end as plane from p)
+    select t, least_plane, plane, row_number() over (order by plane, t) as place, row_number() over (order by abs(plane), plane, t) as place_abs from s"""
+)
+def o2_plane_order(spark, sf_dir):
+    """Timesteps by w-plane and by its absolute value; the least plane that they cover is rounded half to even. A row a timestep."""
+    vis = T.visibilities(spark, sf_dir).filter("t % 3 > 0 and w > 30 or t % 3 = 0 and w < -40")
+    ends = vis.groupBy("t").agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
+    return B.plane_order(ends, "t", WSTEP)
+
+
+@query(f"{_IMG} select y, x, gre * (sqrt(0.0019 * 0.0019 + 0.0001 * 0.0001) * sqrt(0.0001 * 0.0001 + 0.0019 * 0.0019)) / (0.002 * 0.002) as val from grid".replace("select y, x, gre *", "select y, x, round(gre *").replace(" as val", f" + {OFF_TIES}, 6) + 0.0 as val"))
+def m19_pixel_area(spark, sf_dir):
+    """The gridded image scaled by the area of another system's pixels."""
+    ratio = M.pixel_area_ratio(_OTHER["cd"], _SYSTEM["cd"])
+    return gridded(spark, sf_dir).select("y", "x", (F.round(F.col("gre") * ratio + OFF_TIES, 6) + 0.0).alias("val"))
+
+
+@query(f"{_IMG} select y - 120 + 60 as y, x - 120 + 60 as x, gre as val from grid where y between 120 and 136 and x between 120 and 136")
+def m13_centre_odd(spark, sf_dir):
+    """The middle 17 x 17 cells of the grid as a kernel of half support 8, about the centre of its array oversampled eight times."""
+    middle = gridded(spark, sf_dir).filter("y between 120 and 136 and x between 120 and 136")
+    return M.centre_odd(middle.select((F.col("y") - 120).alias("y"), (F.col("x") - 120).alias("x"), F.col("gre").alias("val")), 8, 8)
+
+
+@query(f"{_IMG} select y, string_agg(cast(gre + 0.0 as varchar), ' ' order by x) as line from grid where y < 100 group by y")
+def s19_text_dump(spark, sf_dir):
+    """The first hundred rows of the gridded image as text; the cap is the format's own."""
+    return T.text_rows(gridded(spark, sf_dir).select("y", "x", (F.col("gre") + 0.0).alias("val")), 100)

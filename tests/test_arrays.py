@@ -46,8 +46,10 @@ def test_running_total_across_ranges(spark):
     assert all(got[i] == sum(j % 5 for j in range(0, i + 1, 3)) for i in got)
 
 
-def test_balance_and_shares(spark):
-    assert R.balance([8.558, 8.451, 5.373, 5.475], 16) == [5, 5, 3, 3]
+def test_spans_and_shares(spark):
+    work = spark.createDataFrame([(0, 8), (1, 8), (2, 5), (3, 5)], "i int, n long")
+    got = R.least_span(work, "n", 16).orderBy("i").collect()
+    assert [r["nodes"] for r in got] == [5, 5, 3, 3] and {r["span"] for r in got} == {5 / 3}
     items = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 2.0)], "i int, w double")
     assert [r["n"] for r in R.shares(items, "i", "w", 10).orderBy("i").collect()] == [2, 3, 5]
 
@@ -85,9 +87,16 @@ def test_split_messages_are_glued(spark):
     assert [r["value"] for r in got] == ["1: cap 0: START longer message", "2: cap 0: other", "5: again too"]
 
 
-def test_node_lists(spark):
-    df = spark.createDataFrame([("wilkes[01-03,7]",), ("single",)], "nodes string")
-    assert sorted(r["node"] for r in L.expand_nodes(df, "nodes").collect()) == ["single", "wilkes01", "wilkes02", "wilkes03", "wilkes7"]
+def test_clocks_keep_their_offsets(spark):
+    logs = spark.createDataFrame([(1, 100), (1, 140), (2, 130)], "pid int, ts long")
+    assert sorted(map(tuple, L.align_clocks(logs).select("pid", "ts").collect())) == [(1, 0), (1, 40), (2, 30)]
+    assert L.align_clocks(logs.limit(0)).count() == 0
+
+
+def test_attribute_families(spark):
+    lines = spark.createDataFrame([("[hint:ops=1] [hint:ops=2] [perf:sse=3/40] [tag=word] ",), ("",)], "a string").select(L.text_attributes(F.col("a")).alias("m"))
+    got = [[tuple(x) for x in r[0]] for r in lines.select(L.counter_families(F.col("m"))).collect()]
+    assert got == [[("hint", "ops", 2.0, None), ("perf", "sse", 3.0, 40.0), (None, "tag", None, None)], []]
 
 
 def test_error_classes(spark):

@@ -1,8 +1,6 @@
-"""Streams give what the same rows give as a batch; regions fail one by one."""
+"""Streams give what the same rows give as a batch."""
 
-import pandas as pd
-
-from skyloom.operators import collectives as C
+from skyloom.operators import vectors as V
 from skyloom.operators import gridding as G
 from skyloom.sources import tables as T
 from skyloom.streaming import gridder
@@ -39,20 +37,7 @@ def test_windowed_rates(spark, tmp_path):
     assert got == {(r["w"]["start"], r["event_type"], r["n"]) for r in want}
 
 
-def test_failed_regions_are_named(spark):
-    df = spark.createDataFrame([(k, float(v)) for k in range(4) for v in range(3)], "rank int, x double")
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["rank"].iloc[0] == 1:
-            raise RuntimeError("lost")
-        return pd.DataFrame({"rank": [pdf["rank"].iloc[0]], "s": [pdf["x"].sum()]})
-
-    got = {r["rank"]: (r["s"], r["failed"]) for r in C.per_region(df, ["rank"], kernel, "rank int, s double", failout=True).collect()}
-    assert got[0] == (3.0, None) and got[1][0] is None and "lost" in got[1][1] and len(got) == 4
-    assert C.reduce_regions(df, ["rank"], {"s": F.col("x")}).count() == 4
-
-
 def test_fold_and_chunks(spark):
     df = spark.createDataFrame([([1, 2, 3],)], "a array<int>")
-    assert df.select(C.fold(F.col("a"), F.lit(0), lambda s, x: s * 10 + x)).first()[0] == 123
-    assert [r["chunk"] for r in C.chunks(spark.range(7), "id", 3).orderBy("id").collect()] == [0, 0, 0, 1, 1, 1, 2]
+    assert df.select(V.fold(F.col("a"), F.lit(0), lambda s, x: s * 10 + x)).first()[0] == 123
+    assert [r["chunk"] for r in V.chunks(spark.range(7), "id", 3).orderBy("id").collect()] == [0, 0, 0, 1, 1, 1, 2]
