@@ -18,7 +18,7 @@ import numpy as np
 
 #: Pieces that an encoder keeps in each of two generations: the current one, and the one before, from which what is met
 #: again moves over; so frequent pieces stay and rare ones go.
-KEEP = 200_000
+KEEP = 150_000
 #: Characters that a piece may have to be kept: with KEEP, a bound in bytes.
 LONGEST = 40
 #: Marks that may end a word; a word and a run of these are separate pre-tokens.
@@ -37,8 +37,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # in pieces, as lower-casing may have made a special token's string of another
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: For words of lower-case letters in composed form, which no normaliser changes and no pre-tokeniser splits.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
+        self.plain = Tokenizer(self.tokenizer.model)  # one model for both
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.size = max(vocab.values()) + 1
