@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.llm.batches import cut_in_batches
 from skyloom.llm.tokens import word_encoder
 from skyloom.session import cut
 
@@ -32,7 +33,7 @@ TASK_ITEMS = 20_000
 #: Partitions of a round that the next one's task takes.
 FAN_IN = 4
 #: Texts encoded at once.
-TEXTS = 1000
+TEXTS = 250
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SEQUENCE = "sequence_id long, used int, open boolean, members array<struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long, offset: long>>"
@@ -151,4 +152,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Tokenise, cut and pack; see pack()."""
-    return pack(cut(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end), "pieces"), capacity)
+    return pack(cut_in_batches(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end), "pieces"), capacity)
