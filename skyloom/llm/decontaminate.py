@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.llm.batches import returning_memory
 from skyloom.session import cut
 
 SHINGLE = 5
@@ -341,7 +342,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     for r in range(rounds):
         part = items if rounds == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == r)
         index = spark.sparkContext.broadcast(build_index([tuple(x) for x in part.collect()]))  # about CHARS_AT_ONCE characters
-        found = texts.mapInArrow(_search_rows(index), FOUND)
+        found = texts.mapInArrow(returning_memory(_search_rows(index)), FOUND)
         if rounds > 1:
             found = cut(found, "found")
             index.destroy()

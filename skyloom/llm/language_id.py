@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.llm.batches import returning_memory
+
 #: Characters of a labelled row up to which it is learned from, and those of reference text per language at which no more rows
 #: are taken. Bounds of the sample; rows are taken whole.
 LONGEST, REFERENCE = 5_000, 20_000
@@ -270,6 +272,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _predict_rows(model):
+    @returning_memory
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             lang, score, rate = predict(model.value, t.tolist())

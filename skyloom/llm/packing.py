@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.batches import cut_in_batches
+from skyloom.llm.batches import cut_in_batches, returning_memory
 from skyloom.llm.tokens import word_encoder
 from skyloom.session import cut
 
@@ -64,7 +64,7 @@ def _cut_texts(path: str, capacity: int, end: int):
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """The pieces of every document: its ids, then the end id, cut every ``capacity`` ids."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(_cut_texts(tokenizer_path, capacity, end), PIECE)
+    return texts.mapInArrow(returning_memory(_cut_texts(tokenizer_path, capacity, end)), PIECE)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
