@@ -6,15 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import quotes, url_filter, warc
+from skyloom.llm import quotes, rule_ledger, url_filter, warc
 from skyloom.llm.decontaminate import leaks
 from skyloom.llm.exact_dedup import exact_dedup
 from skyloom.llm.language_id import fit, identify
 from skyloom.llm.length_histogram import context_totals, length_counts
 from skyloom.llm.packing import pack_documents
+from skyloom.llm.periodic_runs import WORD, longest, periodic_runs
 from skyloom.llm.simhash import simhash_components
 from skyloom.llm.token_store import read_boundaries, write_store
-from skyloom.session import new_path, table
+from skyloom.session import cut, new_path, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -240,3 +241,54 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and near-duplicate components of documents."""
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op11_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of documents: the written ledger judged by the newest policy."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    written = cut(rule_ledger.ledger(docs).select(F.col("row.doc_id").alias("doc_id"), "measured", "fail_bits"), "ledger")
+    m = [F.col(f"measured.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    kept = rule_ledger.verdict(rule_ledger.POLICIES[-1])
+    return written.select("doc_id", *m, (rule_ledger.fails(rule_ledger.BASE) > 0).alias("base_failed"), kept.alias("kept"), "fail_bits")
+
+
+ORACLE_SQL["op11_rule_ledger"] = r"""
+with d as (select doc_id, coalesce(text, '') as text, row_number() over () as k from documents),
+w as (select k, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) as i from d),
+s as (select k, i, word, array_agg(word) over (partition by k order by i rows between current row and 7 following) as win from w),
+c as (select k, i, word, case when len(win) = 8 and count(*) over (partition by k, win) > 1 then 1 else 0 end as hit from s),
+r as (select k, word, max(hit) over (partition by k order by i rows between 7 preceding and current row) as covered from c),
+m as (select k, count(*) as n_words, sum(length(word)) as word_chars, count(*) filter (where regexp_matches(word, '\p{L}')) as n_lettered, sum(covered) as n_repeat_words from r group by k),
+l as (select k, unnest(string_split(text, chr(10))) as line from d),
+g as (select k, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by k),
+a as (select doc_id, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(n_dup_lines, 0) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(n_lettered, 0) as n_lettered
+    from d left join m on m.k = d.k left join g on g.k = d.k),
+b as (select *, cast(n_words < 20 as bigint) + 2 * cast(100 * n_repeat_words > 30 * n_words as bigint) + 4 * cast(10 * n_symbols > n_words as bigint)
+    + 8 * cast(n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines as bigint) + 16 * cast(word_chars < 2 * n_words or word_chars > 14 * n_words as bigint)
+    + 32 * cast(10 * n_lettered < 7 * n_words as bigint) as fail_bits from a)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 as base_failed, fail_bits = 0 as kept, fail_bits from b
+"""
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """documents, those whose id's CRC-32 is divisible by 10 made periodic from some word on."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.withColumns({"g": F.floor(crc / 10), "words": F.when(crc % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)))})
+    placed = words.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    moved = F.expr("array_join(transform(sequence(0, n - 1), i -> words[cast(if(i >= a, a + (i - a) % p, i) as int)]), ' ')")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), moved).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of documents, the longest one, and digests of all runs and of the text without their repeats."""
+    out = periodic_runs(with_periods(table(spark, sf_dir, "documents")), keep=["doc_id"], as_digest=True)
+    best = out.withColumn("best", longest())
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    text = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return best.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
+        F.sha2(text.cast("binary"), 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
