@@ -13,6 +13,7 @@ from skyloom.llm.language_id import fit, identify
 from skyloom.llm.length_histogram import context_totals, length_counts
 from skyloom.llm.packing import pack_documents
 from skyloom.llm.periodic_runs import WORD, longest, periodic_runs
+from skyloom.llm.phrases import collocations
 from skyloom.llm.simhash import simhash_components
 from skyloom.llm.token_store import read_boundaries, write_store
 from skyloom.session import cut, new_path, table
@@ -292,3 +293,35 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     milli = F.floor(1000 * F.col("best.length") / F.col("best.period"))
     return best.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
         F.sha2(text.cast("binary"), 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 phrases of two to five words of each language of documents."""
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def _sql_phrases() -> str:
+    """Phrases of each length by windows over the words of pieces, counted; parts are looked up by their text."""
+    windows = " union all ".join(
+        f"select lang, {k} as k, array_to_string(list_slice(ws, cast(i as integer), cast(i as integer) + {k - 1}), ' ') as phrase from p, unnest(generate_series(1, len(ws) - {k - 1})) u(i)" for k in range(1, 6)
+    )
+    return rf"""
+with q as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) as piece from documents),
+p as (select lang, regexp_extract_all(piece, '[^ 	]+') as ws from q),
+t as (select lang, sum(len(ws)) as n from p group by lang),
+f as materialized (select lang, k, phrase, count(*) as a from ({windows}) group by all having count(*) >= 100),
+c as (select lang, k, phrase, a, string_split(phrase, ' ') as ws from f where k > 1),
+x as (select c.lang, c.k, c.phrase, c.a, j, array_to_string(list_slice(ws, 1, cast(j as integer)), ' ') as one, array_to_string(list_slice(ws, cast(j as integer) + 1, c.k), ' ') as two from c, unnest(generate_series(1, c.k - 1)) u(j)),
+s as (select x.lang, x.k, x.phrase, x.a, j, fl.a as l, fr.a as r, t.n, (1000 * cast(x.a as hugeint) * cast(t.n as hugeint)) // (cast(fl.a as hugeint) * fr.a) as score
+    from x join f fl on fl.lang = x.lang and fl.phrase = one join f fr on fr.lang = x.lang and fr.phrase = two join t on t.lang = x.lang),
+b as (select *, row_number() over (partition by lang, phrase order by score, j) as best from s qualify best = 1),
+o as (select distinct c.lang, sub.phrase from c, lateral (select array_to_string(list_slice(c.ws, cast(i as integer), cast(i + m as integer)), ' ') as phrase from unnest(generate_series(1, c.k - 1)) u(i), unnest(generate_series(1, c.k - 2)) v(m) where i + m <= c.k) sub
+    join f on f.lang = c.lang and f.phrase = sub.phrase where 100 * c.a >= 100 * f.a),
+z as (select b.* from b anti join o on o.lang = b.lang and o.phrase = b.phrase)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from z qualify rank <= 2000
+"""
+
+
+ORACLE_SQL["op13_phrases"] = _sql_phrases()
