@@ -58,3 +58,20 @@ def world_to_pixel(lon: Column, lat: Column, ref: tuple[float, float], at: tuple
     x = F.lit(at[0]) + (F.lit(cd[1][1] / det) * xi - F.lit(cd[0][1] / det) * eta)
     y = F.lit(at[1]) + (F.lit(cd[0][0] / det) * eta - F.lit(cd[1][0] / det) * xi)
     return x, y
+
+
+def inverse(m: Matrix) -> Matrix:
+    """Inverse of a 2x2 matrix."""
+    (a, b), (c, d) = m
+    det = a * d - b * c
+    return [[d / det, -b / det], [-c / det, a / det]]
+
+
+def to_world(ref: tuple[float, float]) -> Matrix:
+    """Rotation that takes the x axis to the direction of right ascension and declination ref."""
+    return matmul(rot_z(ref[0]), rot_y(-ref[1]))
+
+
+def rotated_uvw(lon: float, lat: float, uvw: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """Coordinates of a baseline seen from another phase centre."""
+    return apply_matrix(matmul(rot_x(-lat), rot_y(lon)), uvw)

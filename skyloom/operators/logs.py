@@ -1,7 +1,7 @@
 """Analytics over kernel logs: text lines to paired invocations to metrics, as relational queries.
 
-A line is ``time: cap N: TAG [attr]* message``; START and END lines of a message on one processor pair up in order. Pairing
-numbers the lines of each (processor, message), so its windows hold one processor's lines of one kernel.
+A line is ``time: cap N: TAG [attr]* message``; START and END lines of a message on one processor pair up in order.
+Numbers of lines, running times and split messages are scans in two levels (``scans``), so no processor's or kernel's lines meet in one task.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators.scans import Running, scan
+
 LINE = r"^(\d+): cap (\d+): (\w+) ((?:\[[^\]]*\] ?)*)(.*)$"
 #: Weights of scalar, 128-bit and 256-bit operations, and the device rate that efficiency is measured against.
 FLOP_WEIGHTS, DEVICE_RATE = (1, 2, 4), 100e9
@@ -29,22 +31,27 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def glue(lines: DataFrame) -> DataFrame:
-    """Lines (log, at, value) whose message was split: ``...[[n]]`` goes on in the next line that starts with ``[[n]]``."""
+def glue(lines: DataFrame, order: tuple[str, ...] = ("at",)) -> DataFrame:
+    """Lines (log, value and what orders them, ``at`` if not told) whose message was split: ``...[[n]]`` goes on in the next line of the log that
+    starts with ``[[n]]``; a message is known by the place of its first line. Lines without a mark pass straight through."""
     number = F.coalesce(F.nullif(F.regexp_extract("value", r"^\[\[(\d+)\]\]", 1), F.lit("")), F.nullif(F.regexp_extract("value", r"\[\[(\d+)\]\]$", 1), F.lit("")))
-    marked = lines.withColumn("number", number)
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    marked = lines.withColumns({"number": number, "place": at})
+    split = marked.filter("number is not null")
     first = ~F.col("value").rlike(r"^\[\[\d+\]\]")
-    order = Window.partitionBy("log", "number").orderBy("at")
-    group = F.when(F.col("number").isNull(), F.col("at")).otherwise(F.max(F.when(first, F.col("at"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    started = scan(split, ["log", "number"], list(order), start=Running("last", F.when(first, F.col("place"))))
     text = F.regexp_replace("value", r"^\[\[\d+\]\]|\[\[\d+\]\]$", "")
-    held = marked.select("log", group.alias("start"), "at", text.alias("text"))
-    return held.groupBy("log", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "").alias("value")).withColumnRenamed("start", "at")
+    held = started.select("log", "number", "start", "place", text.alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("place", "text")))
+    glued = held.groupBy("log", "number", "start").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("value"))
+    return marked.filter("number is null").select("log", F.col("place").alias("at"), "value").unionByName(glued.select("log", F.col("start").alias("at"), "value"))
 
 
 def pair(entries: DataFrame) -> DataFrame:
-    """(pid, msg, occurrence, start, stop, start_attrs, end_attrs) of the START and END lines that pair; the rest have a null side."""
-    order = Window.partitionBy("pid", "msg", "tag").orderBy("ts")
-    numbered = entries.filter(F.col("tag").isin("START", "END")).withColumn("occurrence", F.row_number().over(order))
+    """(pid, msg, occurrence, start, stop, start_attrs, end_attrs) of the START and END lines that pair, ties of time in the order of
+    their attributes; the rest have a null side."""
+    ends = entries.filter(F.col("tag").isin("START", "END")).withColumn("tie", F.to_json("attrs"))
+    numbered = scan(ends, ["pid", "msg", "tag"], ["ts", "tie"], occurrence=Running("count")).drop("tie")
     side = lambda tag, ts, attrs: numbered.filter(F.col("tag") == tag).select("pid", "msg", "occurrence", F.col("ts").alias(ts), F.col("attrs").alias(attrs))
     return side("START", "start", "start_attrs").join(side("END", "stop", "end_attrs"), ["pid", "msg", "occurrence"], "full")
 
@@ -97,16 +104,34 @@ def iterations(entries: DataFrame, log: str, init: str, step: str) -> DataFrame:
 
 def busy_timeline(calls: DataFrame, row: str) -> DataFrame:
     """Adds busy, the running duration of a row's calls before each: the timeline with idle time taken out."""
-    before = Window.partitionBy(row).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("busy", F.coalesce(F.sum(F.col("stop") - F.col("start")).over(before), F.lit(0)))
+    took = Running("sum", F.col("stop") - F.col("start"), own=False)
+    return scan(calls, [row], ["start", "stop"], busy=took)
+
+
+def named_past_first(entries: DataFrame, *names: str) -> DataFrame:
+    """Entries whose message, less its first letter, is one of the names: so a kernel is found under either case of that letter,
+    and ``DegridX`` isn't taken for a ``GridX``."""
+    return entries.filter(F.substring("msg", 2, 1 << 30).isin(*names))
+
+
+def launch_lists(lines: DataFrame, what: str, order: str = "at") -> DataFrame:
+    """(log, values): the quoted list of each log's first line ``capset n: <what>: ["...","..."]``, cut at ``","``."""
+    pattern = rf'^capset [0-9]+: {what}: \["(.*)"\]'
+    first = lines.filter(F.col("value").rlike(pattern)).groupBy("log").agg(F.min_by("value", order).alias("value"))
+    return first.select("log", F.split(F.regexp_extract("value", pattern, 1), '","').alias("values"))
+
+
+def program_args(lines: DataFrame, order: str = "at") -> DataFrame:
+    """(log, values): arguments of the program that wrote a log; a log without them has no row."""
+    return launch_lists(lines, "args", order)
 
 
-def suffixed(entries: DataFrame, *suffixes: str) -> DataFrame:
-    """Entries whose message ends in one of the suffixes: a kernel is told by the end of its name."""
-    held = F.lit(False)
-    for suffix in suffixes:
-        held = held | F.col("msg").endswith(suffix)
-    return entries.filter(held)
+def program_env(lines: DataFrame, order: str = "at") -> DataFrame:
+    """(log, env): its environment as a map; entries that aren't ``name=value`` are left out, the last of a name holds."""
+    held = launch_lists(lines, "env", order).withColumn("p", F.expr("transform(filter(values, v -> v rlike '^(?U)\\\\w+='), v -> struct(substring_index(v, '=', 1) as key, substring(v, instr(v, '=') + 1) as value))"))
+    keys = F.array_distinct(F.transform("p", lambda e: e["key"]))
+    last = F.expr("transform(k, x -> struct(x as key, element_at(filter(p, e -> e.key = x), -1).value as value))")
+    return held.withColumn("k", keys).select("log", F.map_from_entries(last).alias("env"))
 
 
 def counter_families(attrs: Column) -> Column:

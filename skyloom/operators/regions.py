@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators.scans import Running, bounds, scan
+
 
 def prefer(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Union by key; where both have a key, the left one's rows."""
@@ -19,10 +21,11 @@ def recover(expected: DataFrame, found: DataFrame, default: dict[str, Column], *
 
 def merge_ranges(ranges: DataFrame, *keys: str) -> DataFrame:
     """(keys, lo, hi, n): half-open ranges that touch or overlap become one, per key."""
-    order = Window.partitionBy(*keys).orderBy("lo", "hi")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    started = ranges.withColumn("new", F.when(F.col("lo") <= reach, 0).otherwise(1))
-    return started.withColumn("island", F.sum("new").over(order)).groupBy(*keys, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).drop("island")
+    inner = bounds(ranges, "lo")
+    reached = scan(ranges, list(keys), ["lo", "hi"], inner, reach=Running("max", F.col("hi"), own=False))
+    started = reached.withColumn("new", F.when(F.col("lo") <= F.col("reach"), 0).otherwise(1))
+    islands = scan(started, list(keys), ["lo", "hi"], inner, island=Running("sum", F.col("new")))
+    return islands.groupBy(*keys, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).drop("island")
 
 
 def range_split(low: int, high: int, parts: int, i: Column) -> tuple[Column, Column]:
@@ -31,13 +34,25 @@ def range_split(low: int, high: int, parts: int, i: Column) -> tuple[Column, Col
     return edge(i), edge(i + 1)
 
 
-def as_of(points: DataFrame, steps: DataFrame, at: str, key: str) -> DataFrame:
-    """Each point with the step whose key is the greatest not above it. Steps are few by contract (a list of table sizes), so
-    they become an array literal and no join is needed."""
-    rows = [tuple(r) for r in steps.orderBy(key).collect()]
-    names = steps.columns
-    arr = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
-    return points.withColumn("step", F.try_element_at(F.filter(arr, lambda s: s[key] <= F.col(at)), F.lit(-1))).select("*", "step.*").drop("step")
+#: Steps up to which they become an array literal.
+LITERAL = 1000
+
+
+def as_of(points: DataFrame, steps: DataFrame, at: str, key: str, literal: int = LITERAL) -> DataFrame:
+    """Each point with the step whose key is the greatest not above it, null if none is or the point has no place. Keys of steps differ. Up to
+    ``literal`` steps are an array literal and need no join; more are put among the points in order, and the last step is carried on
+    from bucket to bucket of the range (``scans``), so neither steps nor points meet in one task."""
+    if steps.limit(literal + 1).count() <= literal:
+        rows = [tuple(r) for r in steps.orderBy(key).collect()]
+        each = [F.struct(*[F.lit(v).cast(steps.schema[n].dataType).alias(n) for n, v in zip(steps.columns, r)]) for r in rows]
+        kind = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in steps.schema])
+        found = F.try_element_at(F.filter(F.array(*each), lambda s: s[key] <= F.col(at)), F.lit(-1)) if each else F.when(F.lit(False), kind)
+        return points.withColumn("_step", found).select("*", "_step.*").drop("_step")
+    place = points.schema[at].dataType
+    step = steps.filter(F.col(key).isNotNull()).select(F.col(key).cast(place).alias("_at"), F.lit(0).alias("_kind"), F.struct("*").alias("_step"))
+    both = points.select(F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct("*").alias("_point")).unionByName(step, allowMissingColumns=True)
+    held = scan(both, [], ["_at", "_kind"], last=Running("last", F.col("_step"))).filter("_kind = 1")
+    return held.select("_point.*", F.when(F.col("_at").isNotNull(), F.col("last")).alias("_step")).select("*", "_step.*").drop("_step")
 
 
 def least_span(work: DataFrame, size: str, parts: int) -> DataFrame:
@@ -58,9 +73,9 @@ def shares(items: DataFrame, order: str, weight: str, total: int) -> DataFrame:
     return items.withColumn("n", (F.floor(high * total) - F.floor(low * total)).cast("long"))
 
 
-def in_range(points: DataFrame, ranges: DataFrame, at: str) -> DataFrame:
-    """Each point with the half-open range [lo, hi) that holds it, null if none does. Ranges are few by contract, as in as_of()."""
-    held = as_of(points, ranges, at, "lo")
+def in_range(points: DataFrame, ranges: DataFrame, at: str, literal: int = LITERAL) -> DataFrame:
+    """Each point with the half-open range [lo, hi) that holds it, null if none does. Ranges don't overlap; any number of them, as in as_of()."""
+    held = as_of(points, ranges, at, "lo", literal)
     return held.withColumns({c: F.when(F.col(at) < F.col("hi"), F.col(c)) for c in ranges.columns if c != "hi"}).withColumn("hi", F.when(F.col("lo").isNotNull(), F.col("hi")))
 
 

@@ -13,6 +13,7 @@ from skyloom.operators import binning as B
 from skyloom.operators import gridding as G
 from skyloom.operators import images as M
 from skyloom.operators import regions as R
+from skyloom.operators import tiled_clean
 from skyloom.plans import derived as D
 from skyloom.session import cut, new_path
 from skyloom.sources import tables as T
@@ -362,7 +363,43 @@ def m15_clean(spark, sf_dir):
     pts = points(spark, sf_dir, scale=WHOLE)
     gcf = T.convolution_table(spark)
     dirty, psf = (cut(M.ifft2(G.grid(p, gcf, SIZE), GRID), "image") for p in (pts, ones(pts)))
-    return M.clean(dirty, psf, 0.1, 0.0)[0]
+    found, _ = tiled_clean.clean(dirty, psf, GRID, 0.1, 0.0)
+    return M.image_sum(found.select("y", "x", "val"))
+
+
+_BLOCK = 8
+_EDGE = GRID // _BLOCK
+_BEAM = f"floor(1024 / (1 + ((y - {_EDGE // 2}) * (y - {_EDGE // 2}) + (x - {_EDGE // 2}) * (x - {_EDGE // 2})) / 4.0)) / 1024"
+_HOGBOM = f"""with recursive {D.gridded()}, cells as (select i, i // {_EDGE} as y, i % {_EDGE} as x from range({_EDGE * _EDGE}) r(i)),
+    blocks as (select y // {_BLOCK} as y, x // {_BLOCK} as x, sum(gre) as val from grid group by all),
+    img as (select list(coalesce(val, 0.0::double) order by i) as vals from cells left join blocks on blocks.y = cells.y and blocks.x = cells.x),
+    psf as (select list(cast({_BEAM.replace('4.0', '4.0::double')} as double) order by i) as p from cells),
+    r as (select 0 as cycle, vals, cast(null as bigint) as y, cast(null as bigint) as x, cast(null as double) as flux from img
+        union all
+        select cycle + 1, list_transform(range(1, {_EDGE * _EDGE + 1}), lambda j: v[j] - (0.125::double * v[pk]) * (case when (j - 1) // {_EDGE} - ay between -{_EDGE // 2} and {_EDGE // 2 - 1} and (j - 1) % {_EDGE} - ax between -{_EDGE // 2} and {_EDGE // 2 - 1}
+            then p[((j - 1) // {_EDGE} - ay + {_EDGE // 2}) * {_EDGE} + (j - 1) % {_EDGE} - ax + {_EDGE // 2} + 1] else 0 end)), ay, ax, 0.125::double * v[pk]
+        from (select cycle, vals as v, pk, (pk - 1) // {_EDGE} as ay, (pk - 1) % {_EDGE} as ax from (select cycle, vals, list_position(list_transform(vals, lambda e: abs(e)), list_max(list_transform(vals, lambda e: abs(e)))) as pk from r where cycle < 20)) s, psf)"""
+
+
+def _small_clean(spark, sf_dir):
+    """Twenty CLEAN cycles with gain 1/8 over the grid summed by blocks of 8 x 8 cells, in tiles of 8."""
+    block = lambda c: F.floor(F.col(c) / _BLOCK).cast("int").alias(c)
+    blocks = gridded(spark, sf_dir).groupBy(block("y"), block("x")).agg(F.sum("gre").alias("val"))
+    at = spark.range(_EDGE * _EDGE).select(F.floor(F.col("id") / _EDGE).cast("int").alias("y"), (F.col("id") % _EDGE).cast("int").alias("x"))
+    psf = at.withColumn("val", F.expr(_BEAM.replace("4.0", "4.0D")).cast("double"))
+    return tiled_clean.clean(blocks, psf, _EDGE, 0.125, 0.0, 20, tile=8, every=6)
+
+
+@query(f"{_HOGBOM} select cast(cycle - 1 as integer) as cycle, cast(y as integer) as y, cast(x as integer) as x, flux as val from r where cycle > 0")
+def m14_components(spark, sf_dir):
+    """Components of CLEAN in their order."""
+    return _small_clean(spark, sf_dir)[0]
+
+
+@query(f"{_HOGBOM} select cast((i - 1) // {_EDGE} as integer) as y, cast((i - 1) % {_EDGE} as integer) as x, vals[i] as val from r, range(1, {_EDGE * _EDGE + 1}) c(i) where cycle = 20")
+def m16_residual(spark, sf_dir):
+    """What CLEAN leaves of the image."""
+    return _small_clean(spark, sf_dir)[1]
 
 
 @query()

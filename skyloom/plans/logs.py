@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import logs as L
 from skyloom.plans.derived import LOG
-from skyloom.session import table
+from skyloom.session import new_path, table
+from skyloom.sources import tables as T
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -162,11 +163,51 @@ def l8_io_metrics(spark, sf_dir):
     )
 
 
-@query(f"with {LOG} select msg, count(*) as n, min(start) as first from log where ends_with(msg, 'ck') or ends_with(msg, 'up') group by msg")
-def l10_suffix_filter(spark, sf_dir):
-    """Entries of kernels whose name ends in one of two suffixes."""
-    starts = L.suffixed(entries(spark, sf_dir).filter("tag = 'START'"), "ck", "up")
-    return starts.groupBy("msg").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+_KERNELS = "case event_id % 5 when 0 then 'GridKernelCPU' when 1 then 'gridKernelCPU' when 2 then 'DegridKernelCPU' when 3 then 'ridKernelCPU' else event_type end"
+
+
+@query(f"with {LOG}, k as (select {_KERNELS} as name, epoch_us(ts) // 1000 as start from events) select name as msg, count(*) as n, min(start) as first from k where substr(name, 2) in ('ridKernelCPU', 'iew') group by name")
+def l10_gridders(spark, sf_dir):
+    """Entries of kernels told by their name less its first letter: gridders of either case, and neither degridders nor the bare rest."""
+    named = table(spark, sf_dir, "events").select(F.expr(_KERNELS).alias("msg"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
+    return L.named_past_first(named, "ridKernelCPU", "iew").groupBy("msg").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
+
+
+def launches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log, at, value): four lines of each program's log, two of them alike but for their place."""
+    e = table(spark, sf_dir, "events").withColumn("log", F.col("event_id"))
+    listed = lambda what, *parts: F.concat(F.lit(f'capset 0: {what}: ["'), F.concat_ws('","', *parts), F.lit('"]'))
+    n, kind = F.col("event_id").cast("string"), F.col("event_type")
+    lines = F.array(
+        F.lit("capset 0: rtsopts"),
+        listed("args", F.lit("imaging"), F.concat(F.lit("--"), kind), n),
+        listed("args", F.lit("later")),
+        listed("env", F.concat(F.lit("KIND="), kind), F.concat(F.lit("N="), F.lit("1=2")), F.lit("no entry"), F.concat(F.lit("N="), n)),
+    )
+    return e.select("log", F.posexplode(lines).alias("at", "value"))
+
+
+@query("select event_id as log, '--' || event_type as flag, 3::bigint as args, event_type as kind, cast(event_id as varchar) as n, 2::bigint as names from events")
+def l17_launches(spark, sf_dir):
+    """Arguments and environment of the programs that wrote the logs."""
+    lines = launches(spark, sf_dir)
+    args, env = L.program_args(lines), L.program_env(lines)
+    return args.join(env, "log").select("log", F.col("values")[1].alias("flag"), F.size("values").cast("long").alias("args"), F.col("env")["KIND"].alias("kind"), F.col("env")["N"].alias("n"), F.size("env").cast("long").alias("names"))
+
+
+@query(f"with {LOG} select msg, count(*) as n, cast(sum(scalar0) as double) as scalar, min(start) as first from log group by msg")
+def l2_text_log(spark, sf_dir):
+    """Log files written as text, read in the order of their lines, with messages that were split over lines far apart put together again."""
+    e = table(spark, sf_dir, "events")
+    whole = F.format_string("%d: cap %d: START [scalar=%d] [sse=%d] %s", F.unix_millis(F.col("ts").cast("timestamp")), "user_id", F.col("event_id") % 97, F.col("event_id") % 31, "event_type")
+    mark = F.concat(F.lit("[["), F.col("event_id").cast("string"), F.lit("]]"))
+    each = e.select("event_id", "user_id", whole.alias("line"), mark.alias("mark"))
+    split = F.array(F.concat(F.substring("line", 1, 20), "mark"), F.concat("mark", F.substring("line", 21, 9), "mark"), F.concat("mark", F.expr("substring(line, 30)")))
+    pieces = each.select("event_id", "user_id", F.posexplode(F.when(F.col("event_id") % 3 > 0, split).otherwise(F.array("line"))).alias("k", "value"))
+    path = new_path(spark, "log")
+    pieces.repartition(4, "user_id").sortWithinPartitions("k", "event_id").select("value").write.text(path)
+    log = L.parse_lines(L.glue(T.read_log(spark, path), ("block", "line")).select("value"))
+    return log.groupBy("msg").agg(F.count("*").alias("n"), F.sum(F.col("attrs")["scalar"]).alias("scalar"), F.min("ts").alias("first"))
 
 
 def device_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every registered query of the library's own operators, with its SQL."""
 
-from skyloom.plans import arrays, imaging, logs
+from skyloom.plans import arrays, imaging, logs, resampled, stores
 
-QUERIES: dict = {**imaging.QUERIES, **arrays.QUERIES, **logs.QUERIES}
-ORACLE_SQL: dict = {**imaging.ORACLE_SQL, **arrays.ORACLE_SQL, **logs.ORACLE_SQL}
+_PARTS = (imaging, arrays, logs, resampled, stores)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -110,3 +110,10 @@ def write_ordered(vis: DataFrame, path: str) -> None:
 def constant(vis: DataFrame, re: float, im: float) -> DataFrame:
     """All visibilities at one value; (1, 0) gives the point spread function."""
     return vis.withColumns({"re": F.lit(re), "im": F.lit(im)})
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(log, block, line, value) of text files: lines with the file they are in, the byte at which their split of it begins, and a number that
+    grows within the split, so (block, line) is their order in the file however it was cut. A scan without a sort or a shuffle."""
+    lines = spark.read.text(path)
+    return lines.select(F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
