@@ -81,7 +81,7 @@ def test_stages_keep_the_columns(spark, tmp_path):
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in names if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in names if q.startswith("op")}
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
 
@@ -119,6 +119,54 @@ def test_near_copies_match_brute_force(spark):
     assert {r["doc_id"] for r in kept} == {i for i in label if label[i] == i}
 
 
+def test_language_is_what_decides(spark, monkeypatch):
+    """A text in letters of no language that was learned goes, and so do languages that aren't wanted."""
+    rng = random.Random(6)
+    kinds = {"en": ["the", "of", "thing", "other", "with"], "de": ["der", "und", "schön", "nicht", "wir"]}
+    text = lambda k, n: " ".join(rng.choice(kinds[k]) for _ in range(n))
+    rows = [(i, text(k, 60), k) for i, k in enumerate(["en", "de"] * 20)] + [(90, "слово за словом " * 9, "en"), (91, text("de", 60), None), (92, text("en", 60), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = lambda: {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept() == {*range(40), 91, 92}
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("de",))
+    assert kept() == {*range(1, 40, 2), 91}
+
+
+def planted_pairs(spark, texts, pairs):
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    label = {r["id"]: r["component_id"] for r in N.near_components(docs, "doc_id").collect()}
+    return sum(a in label and label[a] == label.get(b) for a, b in pairs), len(label)
+
+
+def test_pages_of_one_template_are_paired(spark):
+    """Texts that have 88 % in common, just not near copies, and pairs of them that just are: no group is cut short."""
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common = words(264)
+    texts = [common + words(36) for _ in range(120)]
+    pairs = []
+    for k in range(20):
+        copy = list(texts[k])
+        for j in range(32):
+            copy[-1 - j] = f"c{k}_{j}"
+        sets = [set(zip(*(t[i:] for i in range(5)))) for t in (texts[k], copy)]
+        assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.81
+        pairs.append((k, len(texts)))
+        texts.append(copy)
+    assert planted_pairs(spark, texts, pairs) == (20, 40)
+
+
+def test_short_texts_are_paired(spark):
+    """Of few shingles none is missed: a word more or less, up to texts that have both kinds of blocks."""
+    rng = random.Random(8)
+    texts, pairs = [], []
+    for n in [8, 9, 12, 25, 83, 84, 85, 104] * 25:
+        own = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [own, own + ["more"]]
+    assert planted_pairs(spark, texts, pairs) == (200, 400)
+
+
 def test_rows_without_or_with_shared_ids_are_told_apart(spark, tmp_path):
     rng = random.Random(4)
     text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
