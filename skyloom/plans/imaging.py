@@ -344,17 +344,38 @@ def m4_forward_fft(spark, sf_dir):
     return M.fft2(image, SMALL).select("y", "x", *[(F.round(F.col(c) + OFF_TIES, 4) + 0.0).alias(c) for c in ("gre", "gim")])
 
 
-@query()
+def _fast_dft(source: str, sign: int, n: int) -> str:
+    """As _dft(), with the turns of a circle in a list rather than computed for each term."""
+    turn = f"((c - {n // 2}) * (k - {n // 2}) % {n} + {n}) % {n} + 1"
+    step = lambda src, line, along: f"""(select {line} as line, k as along, sum(gre * cs[{turn}] - gim * {sign} * sn[{turn}]) as gre, sum(gre * {sign} * sn[{turn}] + gim * cs[{turn}]) as gim
+        from (select {line}, {along} as c, gre, gim from {src}), range({n}) r(k), turns group by all)"""
+    rows = step(source, "y", "x")
+    return step(f"(select line as y, along as x, gre, gim from {rows})", "x", "y")
+
+
+_TURNS = f"turns as (select list(cos(2 * pi() * m / {GRID}) order by m) as cs, list(sin(2 * pi() * m / {GRID}) order by m) as sn from range({GRID}) r(m))"
+_ALL = f"with {D.VIS}, {D.GCF}, {D.pregrid(source='(select * replace (u * 0.96 as u, v * 0.96 as v) from vis)')}, {D.inside()}, {D.grid()}, {_TURNS}"
+
+
+@query(
+    f"""{_ALL}, h as (select y, x, sum(gre) / 2 as gre, sum(gim) / 2 as gim from (select y, x, gre, gim from grid union all select {GRID - 1} - y, {GRID - 1} - x, gre, -gim from grid) group by all)
+    select along as y, line as x, round(gre / {GRID} + {OFF_TIES}, 3) + 0.0 as val from {_fast_dft('h', 1, GRID)}"""
+)
 def m5_inverse_fft_all(spark, sf_dir):
-    """Dirty image of all visibilities; as many cells are too slow for the SQL of m5_inverse_fft."""
-    return M.ifft2(G.grid(points(spark, sf_dir, scale=WHOLE), T.convolution_table(spark), SIZE), GRID)
+    """Dirty image of all visibilities."""
+    image = M.ifft2(G.grid(points(spark, sf_dir, scale=WHOLE), T.convolution_table(spark), SIZE), GRID)
+    return image.select("y", "x", (F.round(F.col("val") + OFF_TIES, 3) + 0.0).alias("val"))
 
 
-@query()
+@query(
+    f"""{_ALL}, i as (select y, x, gre, 0.0 as gim from grid)
+    select along as y, line as x, round(gre / {GRID} + {OFF_TIES}, 3) + 0.0 as gre, round(gim / {GRID} + {OFF_TIES}, 3) + 0.0 as gim from {_fast_dft('i', -1, GRID)}"""
+)
 def m4_forward_fft_all(spark, sf_dir):
     """Forward transform of the real part of the grid of all visibilities."""
     g = G.grid(points(spark, sf_dir, scale=WHOLE), T.convolution_table(spark), SIZE)
-    return M.fft2(g.select("y", "x", F.col("gre").alias("val")), GRID)
+    out = M.fft2(g.select("y", "x", F.col("gre").alias("val")), GRID)
+    return out.select("y", "x", *[(F.round(F.col(c) + OFF_TIES, 3) + 0.0).alias(c) for c in ("gre", "gim")])
 
 
 @query()
@@ -402,11 +423,30 @@ def m16_residual(spark, sf_dir):
     return _small_clean(spark, sf_dir)[1]
 
 
-@query()
+_KSUP, _KOVER, _KTHETA = 16, 4, 0.04
+_KPAD = _KSUP * _KOVER
+
+
+def _kernel_sql() -> str:
+    """Two passes of a centred transform over the screen, which fills the middle of the padded array."""
+    turn = lambda j, i: f"(2 * pi() * ({j} - {_KPAD // 2}) * ({i} - {_KSUP // 2}) / {_KPAD})"
+    step = lambda src, keep, i, j: f"""select {keep}, j as {j}, sum(re * cos({turn('j', i)}) - im * sin({turn('j', i)})) / {_KPAD} as re, sum(re * sin({turn('j', i)}) + im * cos({turn('j', i)})) / {_KPAD} as im
+        from {src}, range({_KPAD}) r(j) group by all"""
+    at = lambda i: f"(({i} - {_KSUP // 2}) / {_KSUP}.0::double * {_KTHETA})"
+    return f"""with {D.VIS}, p as (select cast(round(w / 25.0) as integer) as wp, avg(w) as w from vis group by all),
+    s as (select wp, y, x, -2 * pi() * w * (1 - sqrt(1 - ({at('y')} * {at('y')} + {at('x')} * {at('x')}))) as phase from p, range({_KSUP}) a(y), range({_KSUP}) b(x)),
+    c as (select wp, y, x, cos(phase) as re, sin(phase) as im from s), a as ({step('c', 'wp, y', 'x', 'ju')}), b as ({step('a', 'wp, ju', 'y', 'jv')}),
+    k as (select wp, cast(ju % {_KOVER} as integer) as ou, cast(jv % {_KOVER} as integer) as ov, cast(ju // {_KOVER} as integer) as su, cast(jv // {_KOVER} as integer) as sv, re, im from b),
+    n as (select *, sum(re) over (partition by wp, ou, ov) as total from k)
+    select wp, ou, ov, su, sv, round(re / total + {OFF_TIES}, 5) + 0.0 as re, round(im / total + {OFF_TIES}, 5) + 0.0 as im from n"""
+
+
+@query(_kernel_sql())
 def m11_w_kernels(spark, sf_dir):
     """Convolution functions for the mean w of every w-plane that occurs."""
     planes = a22_w_planes(spark, sf_dir).select("wp", F.col("w_mean").alias("w"))
-    return M.w_kernels(planes, 16, 4, 0.04)
+    out = M.w_kernels(planes, _KSUP, _KOVER, _KTHETA)
+    return out.select("wp", "ou", "ov", "su", "sv", *[(F.round(F.col(c) + OFF_TIES, 5) + 0.0).alias(c) for c in ("re", "im")])
 
 
 _SYSTEM = {"ref": (0.3, 0.5), "at": (128.0, 128.0), "cd": [[-0.002, 0.0], [0.0, 0.002]]}
@@ -457,7 +497,7 @@ def m18_reproject(spark, sf_dir):
     return out.withColumn("val", F.round(F.col("val") + OFF_TIES, 4) + 0.0)
 
 
-@query(f"{_IMG.replace('grid as (', 'grid as materialized (')}, p as materialized (select y + 3 as y, x + 5 as x, gre as p from grid) select grid.y, grid.x, gre - 0.5 * coalesce(p, 0) as val from grid left join p on p.y = grid.y and p.x = grid.x")
+@query(f"{_IMG}, two as (select y, x, gre as val, 1 as own from grid union all select y + 3, x + 5, -0.5 * gre, 0 from grid) select y, x, sum(val) as val from two group by y, x having max(own) = 1")
 def m17_subtract_shifted(spark, sf_dir):
     image = cut(gridded(spark, sf_dir).select("y", "x", F.col("gre").alias("val")), "image")
     return M.subtract_shifted(image, image, 3, 5, 0.5)
