@@ -7,9 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from skyloom.functions import sky
+from skyloom.operators import kernels as K
 from skyloom.operators.resampling import System, regrid, sample_counts
 from skyloom.plans import derived as D
 from skyloom.plans.imaging import GRID, OFF_TIES, gridded
+from skyloom.sources import tables as T
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -98,3 +100,64 @@ def m18_regrid_wide(spark, sf_dir):
 def m18_sample_counts(spark, sf_dir):
     """Cells of the grid by the samples that they take in the wide system."""
     return sample_counts(gridded(spark, sf_dir).select("y", "x"), SOURCE, WIDE).groupBy("n", "wraps").agg(F.count("*").alias("pixels"))
+
+
+#: Half width of the middle kernel, its oversampling, and half of what is extracted.
+_HALF, _OVER, _SUPPORT = 16, 4, 5
+
+
+def _quarter(spark, sf_dir):
+    """Sums of the grid over the four cells that lie as far from its middle: a quarter of a symmetric kernel."""
+    far = lambda c: F.abs(F.col(c) - 128).cast("int").alias(c)
+    near = gridded(spark, sf_dir).filter(F.col("y").between(128 - _HALF, 128 + _HALF) & F.col("x").between(128 - _HALF, 128 + _HALF))
+    return near.groupBy(far("y"), far("x")).agg(F.sum("gre").alias("re"), F.sum("gim").alias("im"))
+
+
+_QUARTER = f"""{D.gridded()}, q as (select abs(y - 128) as y, abs(x - 128) as x, sum(gre) as re, sum(gim) as im from grid where abs(y - 128) <= {_HALF} and abs(x - 128) <= {_HALF} group by all),
+    k as (select {_HALF} + a.y as y, {_HALF} + a.x as x, re, im from (select j as y, i as x from range(-{_HALF}, {_HALF + 1}) r(j), range(-{_HALF}, {_HALF + 1}) s(i)) a join q on q.y = abs(a.y) and q.x = abs(a.x))"""
+
+
+@query(f"with {_QUARTER} select cast(y - {_HALF - _SUPPORT} as integer) as y, cast(x - {_HALF - _SUPPORT} as integer) as x, re, im from k where abs(y - {_HALF}) <= {_SUPPORT} and abs(x - {_HALF}) <= {_SUPPORT}")
+def m13_extract(spark, sf_dir):
+    """A symmetric kernel made of its quarter, and its middle cut out."""
+    return K.extracted(K.mirrored(_quarter(spark, sf_dir), _HALF), _HALF, _SUPPORT)
+
+
+@query(
+    f"""with {_QUARTER}, o as (select cast(y + {(2 * _HALF + 1) * _OVER // 2 - _HALF} as integer) as y, cast(x + {(2 * _HALF + 1) * _OVER // 2 - _HALF} as integer) as x, re, im from k)
+    select x % {_OVER} as ou, y % {_OVER} as ov, y // {_OVER} as y, x // {_OVER} as x, re, im from o"""
+)
+def m13_by_offset(spark, sf_dir):
+    """The symmetric kernel about the middle of its oversampled array, dealt by sub-pixel offset."""
+    return K.by_offset(K.oversampled(K.mirrored(_quarter(spark, sf_dir), _HALF), _HALF, _OVER), _OVER)
+
+
+_RAGGED = "kern as (select bl, du, dv, ((du * 3 + dv * 5 + bl + 64) % 8 + 1) / 16.0::double as wre, ((du + 2 * dv + bl + 64) % 4 - 1) / 16.0::double as wim from range(16) b(bl), range(-7, 8) p(du), range(-7, 8) q(dv) where abs(du) <= bl % 8 and abs(dv) <= bl % 8)"
+
+
+@query(
+    f"""with {D.VIS}, {_RAGGED}, s as (select bl, t % 4 as pol, trunc(u + 128) as cu, trunc(v + 128) as cv, sum(re) as re, sum(im) as im, count(*) as n from vis group by all)
+    select cast(cu + du as integer) as x, cast(cv + dv as integer) as y, pol, sum(re * wre) as gre, sum(im * wim) as gim, cast(sum(n) as bigint) as n
+    from s join kern on kern.bl = s.bl where cu + du between 0 and 255 and cv + dv between 0 and 255 group by all"""
+)
+def a12_ragged_grid(spark, sf_dir):
+    """Four polarisations gridded with odd, centred kernels whose width differs by baseline."""
+    vis = T.visibilities(spark, sf_dir).select("bl", (F.col("u") + 128).alias("u"), (F.col("v") + 128).alias("v"), "re", "im", (F.col("t") % 4).alias("pol"))
+    half = spark.range(16).select(F.col("id").cast("int").alias("bl"), (F.col("id") % 8).cast("int").alias("half"))
+    at = half.withColumn("du", F.explode(F.sequence(-F.col("half"), F.col("half")))).withColumn("dv", F.explode(F.sequence(-F.col("half"), F.col("half"))))
+    kernels = at.selectExpr("bl", "half", "du", "dv", "((du * 3 + dv * 5 + bl + 64) % 8 + 1) / 16.0D as wre", "((du + 2 * dv + bl + 64) % 4 - 1) / 16.0D as wim")
+    return K.ragged_grid(vis, kernels, GRID, "pol")
+
+
+_TURN = sky.matmul(sky.rot_x(-0.02), sky.rot_y(0.01))
+
+
+@query(
+    f"with {D.VIS} select bl, "
+    + ", ".join(f"round(max({' + '.join(f'({a!r}) * {c}' for a, c in zip(row, 'uvw'))}), 9) + 0.0 as {out}" for row, out in zip(_TURN, "uvw"))
+    + " from vis group by bl"
+)
+def p4_turned_uvw(spark, sf_dir):
+    """Greatest coordinates by baseline, seen from a facet's phase centre."""
+    turned = sky.rotated_uvw(0.01, 0.02, (F.col("u"), F.col("v"), F.col("w")))
+    return T.visibilities(spark, sf_dir).groupBy("bl").agg(*[(F.round(F.max(c), 9) + 0.0).alias(n) for n, c in zip("uvw", turned)])
