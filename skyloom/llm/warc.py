@@ -7,13 +7,15 @@ block of their WARC record. Record ids are name-based, so a run over the same re
 projection: no shuffle. Character references of any kind, numeric or named, are resolved as browsers do, in text and title.
 
 Defined results: a null payload counts as empty, null headers stay null, a null URI is an empty name and a null URI or date has
-no header line; repeated responses give repeated records; extra columns are not read; an empty table gives an empty result.
+no header line; elements, comments and tags that are never closed are text; a page of any length is read in time linear in it;
+repeated responses give repeated records; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Elements that start a line of their own.
 BLOCK_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul|title"
-DROPPED = [re.compile(p, re.A) for p in (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>")]
+#: Opening and closing of what is left out of the text.
+DROPPED = [tuple(re.compile(p, re.A) for p in pair) for pair in ((r"<!--", r"-->"), (r"(?i)<script\b", r"(?i)</script\s*>"), (r"(?i)<style\b", r"(?i)</style\s*>"))]
 BLOCK, TAG = re.compile(rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", re.A), re.compile(r"<[^>]*>")
 BLANKS, LINES, ENDS = re.compile(r"[ \t\r\f]+"), re.compile(r" ?\n[ \n]*"), re.compile(r"^[ \n]+|[ \n]+$")
-TITLE = re.compile(r"(?is)<title[^>]*>([^<]*)<")
+TITLE, HTML, LANG, ANCHOR, HREF = (re.compile(p, re.A | re.I) for p in (r"<title", r"<html", r"\blang=\"", r"<a\s", r"href="))
 
 
 def resolved(text: str) -> str:
@@ -35,22 +38,65 @@ def resolved(text: str) -> str:
     return html.unescape(text).replace("\xa0", " ")
 
 
+def without(page: str, opening: re.Pattern, closing: re.Pattern) -> str:
+    """A page with a space for each stretch from an opening to the next closing; what is never closed stays. One pass: where no closing
+    follows an opening, none follows the later ones."""
+    out, at = [], 0
+    while (first := opening.search(page, at)) and (last := closing.search(page, first.end())):
+        out += [page[at : first.start()], " "]
+        at = last.end()
+    return "".join([*out, page[at:]])
+
+
 def visible_text(page: str) -> str:
     """Text of a page: no comments, scripts or styles; block elements as lines; references resolved; white space collapsed."""
-    for pattern in DROPPED:
-        page = pattern.sub(" ", page)
-    text = resolved(TAG.sub("", BLOCK.sub("\n", page)))
+    for opening, closing in DROPPED:
+        page = without(page, opening, closing)
+    end = page.rfind(">") + 1  # no tag ends behind it, so none is looked for there
+    text = resolved(TAG.sub("", BLOCK.sub("\n", page[:end])) + page[end:])
     return ENDS.sub("", LINES.sub("\n", BLANKS.sub(" ", text)))
 
 
 def title_of(page: str) -> str:
-    found = TITLE.search(page)
-    return resolved(found[1]) if found else ""
+    """What stands between the first title tag and the next tag; nothing where either doesn't end."""
+    first = TITLE.search(page)
+    begin = page.find(">", first.end()) + 1 if first else 0
+    end = page.find("<", begin) if begin else -1
+    return resolved(page[begin:end]) if end >= 0 else ""
+
+
+def language_of(page: str) -> str:
+    """The last ``lang`` attribute of the first html tag that has one, its value up to the next quote."""
+    at = 0
+    while first := HTML.search(page, at):
+        end = page.find(">", first.end())
+        end = len(page) if end < 0 else end
+        for found in [m.end() for m in LANG.finditer(page, first.end(), end)][::-1]:
+            if (quote := page.find('"', found)) >= 0:
+                return page[found:quote]
+        at = end
+    return ""
+
+
+def outlinks_of(page: str) -> int:
+    """Anchors with a reference."""
+    places = [m.start() for m in HREF.finditer(page)]
+    count = at = 0
+    while places and (first := ANCHOR.search(page, at)):
+        end = page.find(">", first.end())
+        last = bisect(places, (len(page) if end < 0 else end) - len("href=")) - 1
+        if last >= 0 and places[last] >= first.end():
+            count, at = count + 1, places[last] + len("href=")
+        elif end < 0:
+            break
+        else:
+            at = end
+    return count
 
 
 def _read_pages(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for p in pages:
-        yield pd.DataFrame({"text": [visible_text(x) for x in p], "title": [title_of(x) for x in p]})
+        yield pd.DataFrame({"text": [visible_text(x) for x in p], "title": [title_of(x) for x in p], "language": [language_of(x) for x in p], "outlinks": [outlinks_of(x) for x in p]})
 
 
 def uuid_of(name: Column) -> Column:
@@ -70,11 +116,9 @@ def derive(responses: DataFrame) -> DataFrame:
     """(record_id, uri, date, headers, payload) -> two rows a response: record_id, warc_type, refers_to, refers_to_uri,
     refers_to_date, source_headers, source_digest, content_type, content_length, block_digest, warc_header, block."""
     source = responses.select("record_id", "uri", "date", "headers", F.coalesce("payload", F.lit("")).alias("payload"))
-    read = source.withColumn("page", F.pandas_udf("text string, title string")(_read_pages)("payload")).select(
-        "record_id", "uri", "date", "headers", "page.text", "page.title",
+    read = source.withColumn("page", F.pandas_udf("text string, title string, language string, outlinks int")(_read_pages)("payload")).select(
+        "record_id", "uri", "date", "headers", "page.*",
         digest(F.col("payload").cast("binary")).alias("source_digest"),
-        F.regexp_extract("payload", r'(?i)<html[^>]*\blang="([^"]*)"', 1).alias("language"),
-        F.regexp_count("payload", F.lit(r'(?i)<a\s[^>]*href=')).alias("outlinks"),
     )
     fields = F.concat(
         F.lit("title: "), F.trim(F.regexp_replace("title", r"\s+", " ")), F.lit("\r\nlanguage: "), F.col("language"),

@@ -129,3 +129,35 @@ def test_rows_that_differ_in_a_null_are_rows_of_their_own(spark):
     two = sorted((r for r in got if r["conv_id"] == 2), key=lambda r: r["place"])
     assert [r["place"] for r in two] == list(range(701)) and two[0]["turn"] == 1
     assert sum(r["linked"] for r in two) == 280
+
+
+def test_pages_are_read_as_the_patterns_say():
+    """Pieces of tags in any order, against plain patterns that may take long."""
+    import random
+    import re
+
+    rng = random.Random(1)
+    parts = ["<!--", "-->", "<script", "</script>", "</script ", "<STYLE>", "</style\n>", "<p", "<p>", ">", "<", "text ", " ", "\n", "<a href=", "<a ", "href=", "<title>", "<title", "</title>", '<html lang="', '"', "<html", "é"]
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        text = page
+        for pattern in (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"):
+            text = re.sub(pattern, " ", text, flags=re.A)
+        text = warc.TAG.sub("", warc.BLOCK.sub("\n", text))
+        assert warc.visible_text(page) == warc.ENDS.sub("", warc.LINES.sub("\n", warc.BLANKS.sub(" ", text)))
+        title = re.search(r"(?is)<title[^>]*>([^<]*)<", page)
+        lang = re.search(r'(?i)<html[^>]*\blang="([^"]*)"', page, re.A)
+        assert warc.title_of(page) == (title[1] if title else "")
+        assert warc.language_of(page) == (lang[1] if lang else "")
+        assert warc.outlinks_of(page) == len(re.findall(r"(?i)<a\s[^>]*href=", page, re.A))
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for piece in ("<script ", "<!-- ", "<style ", "<p ", "<title ", "<html ", "<a ", "<", "<a href=", '<html lang="', "</script "):
+        page = piece * (1_000_000 // len(piece))
+        began = time.process_time()
+        warc.visible_text(page), warc.title_of(page), warc.language_of(page), warc.outlinks_of(page)
+        assert time.process_time() - began < 3
+    assert warc.visible_text("a <script> b <b>c</b>") == "a b c"
