@@ -205,7 +205,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the labels of four fifths."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identify(docs.select("doc_id", "text"), fit(docs))
-    held_out = F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))  # nothing is learned from a row without an id
     return out.select("row.doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score", F.col("found.bits").alias("bits_per_symbol"))
 
 
@@ -308,7 +308,8 @@ def _sql_phrases() -> str:
     )
     return rf"""
 with q as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) as piece from documents),
+-
+]')) as piece from documents),
 p as (select lang, regexp_extract_all(piece, '[^ 	]+') as ws from q),
 t as (select lang, sum(len(ws)) as n from p group by lang),
 f as materialized (select lang, k, phrase, count(*) as a from ({windows}) group by all having count(*) >= 100),

@@ -8,7 +8,9 @@ no entry at all do not.
 
 Intervals and captures are joined on (key, period of PERIOD seconds): an interval is dealt to the periods it spans, so one
 host's captures spread over the periods, both sides shuffle by key, and no pair of a capture and an inactive entry leaves
-the join. Only url, time and keys move, never a page's content. A capture asks for path prefixes as deep as the list's deepest.
+the join. An entry goes only to periods that some capture has, so a capture with a wild time costs nothing. Captures are numbered
+and written first; numbers, times and keys are dealt by key, and a row with its content meets its verdict by number, once. A
+capture asks for path prefixes as deep as the list's deepest.
 
 Defined results: a null or unparsable url or a null time matches nothing and is not blocked; entries with a null key or
 date are ignored; of entries for one key at one second the greatest action in the order allow, block, remove holds;
@@ -24,6 +26,8 @@ from skyloom.session import cut
 
 #: Seconds of a period: 30 days.
 PERIOD = 30 * 86400
+#: Different periods of captures that entries are dealt to one by one; with more of them, entries go to all periods of their span.
+PERIODS = 4096
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -77,23 +81,23 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     keep = captures.columns if keep is None else keep
     entries = cut(entries.select("key", "listed_at", "action"), "entries")
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
-    seen = captures.select(row.alias("row"), F.col(url_col).alias("url"), F.col(time_col).cast("long").alias("fetched_at")).withColumn(
-        "uid", F.monotonically_increasing_id()
-    )
-    asked = seen.select("*", F.explode_outer(candidate_keys(F.col("url"), depth_of(entries))).alias("c")).select(
-        "row", "url", "fetched_at", "uid", "c.rank", "c.key", F.floor(F.col("fetched_at") / PERIOD).alias("period")
-    )
-    span = captures.agg(F.max(F.col(time_col).cast("long")).alias("z")).first()["z"]
+    seen = captures.select(F.monotonically_increasing_id().alias("uid"), row.alias("row"), F.col(url_col).alias("url"), F.col(time_col).cast("long").alias("fetched_at"))
+    seen = cut(seen, "captures")
+    period = F.floor(F.col("fetched_at") / PERIOD)
+    asked = seen.select("uid", "fetched_at", period.alias("period"), F.explode(candidate_keys(F.col("url"), depth_of(entries))).alias("c")).select("uid", "fetched_at", "period", "c.*")
+    span = seen.agg(F.max("fetched_at").alias("z")).first()["z"]
     valid = intervals(entries).filter(F.col("valid_from") <= F.lit(span if span is not None else -1))
     last = F.least(F.coalesce(F.col("valid_to") - 1, F.lit(span)), F.lit(span))
-    dealt = valid.filter("valid_to is null or valid_to > valid_from").select(
-        F.col("key").alias("k"), "action", "valid_from", "valid_to", F.explode(F.sequence(F.floor(F.col("valid_from") / PERIOD), F.floor(last / PERIOD))).alias("p")
-    )
+    first, last = F.floor(F.col("valid_from") / PERIOD), F.floor(last / PERIOD)
+    known = sorted(r["p"] for r in seen.filter("fetched_at is not null").select(period.alias("p")).distinct().limit(PERIODS + 1).collect())
+    # an open entry is in force for ever, but is only asked for in periods that some capture has
+    held = F.sequence(first, last) if len(known) > PERIODS else F.filter(F.array(*map(F.lit, known)).cast("array<bigint>"), lambda p: p.between(first, last))
+    dealt = valid.filter("valid_to is null or valid_to > valid_from").select(F.col("key").alias("k"), "action", "valid_from", "valid_to", F.explode(held).alias("p"))
     active = (F.col("key") == F.col("k")) & (F.col("period") == F.col("p")) & (F.col("fetched_at") >= F.col("valid_from")) & (
         F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))
     )
-    hit = F.when(F.col("k").isNotNull(), F.struct("rank", F.col("k").alias("key"), "action", "valid_from"))
-    best = asked.join(dealt, active, "left").groupBy("uid").agg(F.max(hit).alias("hit"), F.first("row").alias("row"), F.first("url").alias("url"), F.first("fetched_at").alias("fetched_at"))
+    hits = asked.join(dealt, active).groupBy("uid").agg(F.max(F.struct("rank", F.col("k").alias("key"), "action", "valid_from")).alias("hit"))
+    best = seen.join(hits, "uid", "left")
     return best.select(
         "row",
         "url",

@@ -131,6 +131,16 @@ def test_rows_that_differ_in_a_null_are_rows_of_their_own(spark):
     assert sum(r["linked"] for r in two) == 280
 
 
+def test_a_capture_in_milliseconds_costs_no_periods(spark):
+    """One wild time among the captures: entries are dealt to the periods that captures have, not to all up to it."""
+    began = 1_600_000_000
+    entries = [(f"d:site{i}.org", began + i, "block") for i in range(300)]
+    urls = [(i, f"http://www.site{i}.org/x", began + 400, "content") for i in range(300)] + [(999, "http://site7.org/", began * 1000, None)]
+    out = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string, fetched_at long, html string"), spark.createDataFrame(entries, "key string, listed_at long, action string"))
+    rows = out.collect()
+    assert len(rows) == 301 and all(r.blocked for r in rows) and {r.row.html for r in rows} == {"content", None}
+
+
 def test_pages_are_read_as_the_patterns_say():
     """Pieces of tags in any order, against plain patterns that may take long."""
     import random
