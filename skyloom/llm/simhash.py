@@ -16,7 +16,7 @@ part but never names a component unless all its ids are null; an empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -65,25 +65,24 @@ def _fingerprint_long(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
-def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
-    """SimHash of each text, as unsigned 64-bit integers; zero for a text without words."""
-    out = np.zeros(len(texts), np.uint64)
+def prints_of(hashes: Iterable[np.ndarray]) -> np.ndarray:
+    """SimHash of each text's shingle hashes, as unsigned 64-bit integers; zero for none."""
+    out: list[np.uint64] = []
     held: list[np.ndarray] = []
     rows: list[int] = []
 
     def flush() -> None:
         if rows:
             sizes = np.fromiter(map(len, held), np.int64, len(held))
-            out[rows] = _majority(np.concatenate(held), np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+            for i, x in zip(rows, _majority(np.concatenate(held), np.r_[0, np.cumsum(sizes)[:-1]], sizes)):
+                out[i] = x
             held.clear()
             rows.clear()
 
     waiting = 0
-    for i, text in enumerate(texts):
-        h = np.array(shingle_hashes(text, width), np.uint64)
-        if len(h) > CHUNK:
-            out[i] = _fingerprint_long(h)
-        elif len(h):
+    for i, h in enumerate(hashes):
+        out.append(_fingerprint_long(h) if len(h) > CHUNK else np.uint64(0))
+        if 0 < len(h) <= CHUNK:
             if waiting + len(h) > CHUNK:
                 flush()
                 waiting = 0
@@ -91,7 +90,12 @@ def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
             rows.append(i)
             waiting += len(h)
     flush()
-    return out
+    return np.array(out, np.uint64)
+
+
+def fingerprints(texts: list[str | None], width: int = 3) -> np.ndarray:
+    """SimHash of each text, as unsigned 64-bit integers; zero for a text without words."""
+    return prints_of(np.array(shingle_hashes(t, width), np.uint64) for t in texts)
 
 
 def _fingerprint_rows(width: int):

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -181,3 +182,36 @@ def test_rows_without_or_with_shared_ids_are_told_apart(spark, tmp_path):
 def test_documents_without_labels_are_kept(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 !", None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
+
+
+def test_near_copies_come_through_fingerprints(spark, monkeypatch):
+    """Operator 10's links find pairs by themselves, and no pair is linked whose fingerprints are too far apart."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts, pairs = [], []
+    for n in [3000] * 10 + [30] * 10:
+        own = words(n)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [own, own + ["more"]]
+    bits = lambda p: (int(p[0]) ^ int(p[1])).bit_count()
+    prints = N.prints_of(N.shingle_set(" ".join(t)) for t in texts).reshape(-1, 2)
+    within = sum(bits(p) <= 2 for p in prints)
+    assert 10 <= within < 20 and max(map(bits, prints)) <= N.RADIUS
+    assert planted_pairs(spark, texts, pairs) == (20, 40)
+    with monkeypatch.context() as m:
+        m.setattr(N, "RADIUS", 2)
+        assert planted_pairs(spark, texts, pairs) == (within, 2 * within)
+    monkeypatch.setattr(N, "_star_pairs", lambda shared: shared.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(N.SHARED).alias("blocks")).limit(0))
+    monkeypatch.setattr(N, "_unlinked", lambda shared, links: shared.select("key", "id", "n", "reps", "label").limit(0))
+    assert planted_pairs(spark, texts, pairs) == (within, 2 * within)
+
+
+def test_radius_holds_near_copies():
+    """Of 20,000 pairs of similarity 0.8, from 4 shingles on, all are within RADIUS, most by far."""
+    rng = np.random.default_rng(10)
+    most = 0
+    for few, many in ((4, 5), (8, 10), (9, 10), (40, 50), (400, 500)):
+        hashes = [rng.integers(0, 1 << 64, many, np.uint64) for _ in range(4000)]
+        one, other = (N.prints_of(h[:k] for h in hashes) for k in (few, many))
+        most = max(most, int(np.bitwise_count(one ^ other).max()))
+    assert most <= N.RADIUS - 2
