@@ -10,6 +10,7 @@ SQL can't express the stages; tests/llm checks the whole run against a brute-for
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,15 @@ BROADCAST_IDS = 1_000_000
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """(uid, row): a written unique number for every row, as doc_id may be null or repeated."""
+    """(uid, row): a unique number for every row, as doc_id may be null or repeated. Where docs are read from files it is a hash of the file and the row's
+    place there, so nothing is copied; where they aren't, or two rows have the same hash, numbered rows are written."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        rows = docs.select(F.xxhash64(place["file_path"], place["row_index"]).alias("uid"), F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]).alias("row"))
+        if rows.groupBy("uid").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            return rows
+    except AnalysisException:  # no files, or files without places of rows
+        pass
     return cut(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "numbered")
 
 
@@ -50,7 +59,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     foreign = (F.col("found.score") < CLEAR) & (F.col("found.bits") >= FOREIGN)
     told = (F.col("found.lang") != UNKNOWN) & ~foreign
     wanted = F.col("found.lang").isin(*LANGUAGES) if LANGUAGES else F.lit(True)
-    return cut_in_batches(identify(docs, model).filter(told & wanted).select("row.*"), "language")
+    rows = numbered(docs)
+    found = identify(rows.select("uid", F.col("row.text").alias("text")), model)
+    return without(rows, found.filter(~(told & wanted)).select(F.col("row.uid").alias("id")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +70,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest doc_id, null last, and of those the first row."""
+    """One document of each component of near copies: the one with the smallest doc_id, null last, and of those the smallest number."""
     rows = numbered(docs)
     near = near_components(rows.select("uid", F.col("row.text").alias("text")), "uid")
     named = cut(near.join(rows.select(F.col("uid").alias("id"), F.col("row.doc_id").alias("doc_id")), "id"), "named")

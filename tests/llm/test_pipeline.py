@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from skyloom import session
 from skyloom.llm import near_copies as N
 
 from test_dedup import brute_components
@@ -215,3 +216,18 @@ def test_radius_holds_near_copies():
         one, other = (N.prints_of(h[:k] for h in hashes) for k in (few, many))
         most = max(most, int(np.bitwise_count(one ^ other).max()))
     assert most <= N.RADIUS - 2
+
+
+def test_stages_copy_no_text(spark, tmp_path):
+    """Documents that are read from files are numbered there: no stage writes them again; rows that a plan repeats are still told apart."""
+    make(tmp_path)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    uids = [r["uid"] for r in corpus_pipeline.numbered(docs).collect()]
+    assert len(set(uids)) == len(uids) == docs.count() and uids == [r["uid"] for r in corpus_pipeline.numbered(docs).collect()]
+    before = len(session._WRITTEN)
+    left = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert left.inputFiles() and left.columns == docs.columns
+    written = [set(spark.read.parquet(p).columns) for p in session._WRITTEN[before:]]
+    assert written and not any(c & {"text", "row"} for c in written)
+    twice = docs.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    assert corpus_pipeline.numbered(twice).select("uid").distinct().count() == 2 * docs.count()
