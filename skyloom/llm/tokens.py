@@ -18,13 +18,29 @@ import numpy as np
 
 #: Pieces that an encoder keeps in each of two generations: the current one, and the one before, from which what is met
 #: again moves over; so frequent pieces stay and rare ones go.
-KEEP = 150_000
+KEEP = 300_000
 #: Characters that a piece may have to be kept: with KEEP, a bound in bytes.
 LONGEST = 40
 #: Marks that may end a word; a word and a run of these are separate pre-tokens.
 MARKS = ".,;:!?"
 
 
+class Kept(dict):
+    """Ids of pieces. A piece that is missing moves over from the generation before, or gets an empty place here and in ``new``, to be
+    filled once all new pieces of some texts are known; so a text's pieces are looked up once."""
+
+    def __init__(self, before: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.before, self.new = before, {}
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.new[piece] = bytearray()
+        self[piece] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of texts by a tokenizers file whose pre-tokens hold no white space and whose last id of a word ends in ``</w>``."""
 
@@ -43,8 +59,7 @@ class WordEncoder:
         self.size = max(vocab.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.kept: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
+        self.kept = Kept({})
 
     @staticmethod
     def pieces(text: str | None) -> list[str]:
@@ -95,30 +110,33 @@ class WordEncoder:
         return self._encode_texts(texts)
 
     def _encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
         if len(self.kept) > KEEP:
-            self.before, self.kept = self.kept, {"": b""}
-        missing: set[str] = set()
-        known = self.kept.__contains__
-        for p in split:
-            missing.update(filterfalse(known, p))
-        words, other, parted = set(), set(), []
-        if self.before:
-            again = missing.intersection(self.before)
-            self.kept.update(zip(again, map(self.before.__getitem__, again)))
-            missing -= again
-        words.update(filter(str.isalpha, missing))
-        for w in missing.difference(words):
+            self.kept.before.clear()
+            self.kept = Kept(dict(self.kept))
+        try:
+            get = self.kept.__getitem__
+            parts = [list(map(get, self.pieces(t))) for t in texts]
+            self._encode_new()
+            return list(map(b"".join, parts))
+        except BaseException:  # no place stays empty
+            self.kept = Kept({})
+            raise
+
+    def _encode_new(self) -> None:
+        """Fills the empty places."""
+        kept, before, new = self.kept, self.kept.before, self.kept.new
+        words, other, parted = set(filter(str.isalpha, new)), set(), []
+        for w in filterfalse(words.__contains__, new):
             stem = w.rstrip(MARKS)
             if stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):  # no mark at its end
                 tail = w[len(stem) :]
                 parted.append((w, stem, tail))
-                if stem not in self.kept:
-                    if stem in self.before:
-                        self.kept[stem] = self.before[stem]
+                if stem not in kept:
+                    if stem in before:
+                        kept[stem] = before[stem]
                     else:
                         words.add(stem)
-                if tail not in self.kept:
+                if tail not in kept:
                     other.add(tail)
             else:
                 other.add(w)
@@ -126,12 +144,12 @@ class WordEncoder:
         if other:
             self._encode_each(list(other))
         for w, stem, tail in parted:
-            self.kept[w] = self.kept[stem] + self.kept[tail]
-        get = self.kept.__getitem__
-        out = [b"".join(map(get, p)) for p in split]
+            kept[w] = kept[stem] + kept[tail]
+        for w, place in new.items():
+            place += kept[w]
+        new.clear()
         for w in [w for w in chain(words, other, (p[0] for p in parted)) if len(w) > LONGEST]:
-            del self.kept[w]
-        return out
+            del kept[w]
 
 
 @lru_cache(maxsize=2)

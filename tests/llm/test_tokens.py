@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 from skyloom.llm import length_histogram as L
 from skyloom.llm import packing as P
 from skyloom.llm import token_store as T
-from skyloom.llm.tokens import byte_encoder, word_encoder
+from skyloom.llm.tokens import WordEncoder, byte_encoder, word_encoder
 from skyloom.session import new_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +39,22 @@ def test_strings_of_special_tokens_are_read_as_the_library_does(texts):
     assert got == [ids_of(t) for t in texts]
 
 
+def test_words_are_encoded_once():
+    """200,000 words met twice are encoded once, and looked up once for each time that they're met; no place stays empty after an error."""
+    encoder = WordEncoder(PATH)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(200_000)]
+    new, encode = [], encoder._encode_words
+    encoder._encode_words = lambda some: (new.append(len(some)), encode(some))
+    texts = [" ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)]
+    first, again = ([x for a in range(0, 200, 50) for x in encoder.encode(texts[a : a + 50])] for _ in range(2))
+    assert first == again and sum(new) == len(words) and not encoder.kept.new
+    encoder._encode_words = None
+    with pytest.raises(TypeError):
+        encoder.encode(["unseenword"])
+    encoder._encode_words = encode
+    assert encoder.encode(["unseenword"]) == WordEncoder(PATH).encode(["unseenword"]) != [b""]
+
+
 def test_long_pieces_are_not_kept():
     encoder = word_encoder(PATH)
     long = ["x" * 5000, "y" * 300 + "!", "1" * 90, "é" * 60 + "..."]
