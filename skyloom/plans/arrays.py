@@ -258,6 +258,12 @@ def o7_chunks(spark, sf_dir):
 
 @query("select vec_id, list_sum(list_transform(embedding, lambda x: cast(floor(x * 1000) as bigint))) as folded from embeddings")
 def a2_fold(spark, sf_dir):
-    """Left fold over each embedding."""
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000))
-    return table(spark, sf_dir, "embeddings").select("vec_id", V.fold(whole, F.lit(0).cast("long"), lambda s, x: s + x).alias("folded"))
+    """Left fold over each embedding, multiplied in its elements' own precision. Null elements are passed over, an embedding without others
+    gives null. An element that has no 64-bit whole number fails the query, as it does in SQL; so does a sum that has none (SQL's has 128 bits)."""
+
+    def whole(x):
+        scaled = (x * F.lit(1000).cast("float")).cast("double")  # a product of doubles may fall on the other side of a whole number
+        return F.when((scaled < -(2.0**63)) | (scaled >= 2.0**63), F.raise_error("no 64-bit whole number").cast("long")).otherwise(F.floor(scaled)).cast("decimal(38,0)")
+
+    folded = V.fold(F.transform("embedding", whole), F.lit(None).cast("decimal(38,0)"), lambda s, x: F.coalesce(s + x, s, x), lambda s: s.cast("long"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", folded.alias("folded"))

@@ -3,6 +3,8 @@
 import math
 from itertools import combinations
 
+import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from skyloom.operators import binning as B
 from skyloom.operators import logs as L
 from skyloom.operators import regions as R
 from skyloom.operators import vectors as V
+from skyloom.plans import arrays
 
 
 def test_dot_of_generated_vectors(spark):
@@ -102,3 +105,38 @@ def test_attribute_families(spark):
 def test_error_classes(spark):
     df = spark.createDataFrame([(0.0, 1.0), (1.0, 1.05), (1.0, 1.2), (3.0, 1.0), (1.0, None)], "v double, h double")
     assert [r[0] for r in df.select(L.error_class("v", "h")).collect()] == ["hint", "ok", "warning", "error", "none"]
+
+
+def folded(spark, tmp_path, embeddings):
+    """a2_fold's rows over embeddings of 32-bit floats, and a call that gives its SQL's."""
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(list(enumerate(embeddings)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/*.parquet'")
+    return arrays.a2_fold(spark, str(tmp_path)), lambda: con.execute(arrays.ORACLE_SQL["a2_fold"]).fetchall()
+
+
+def test_fold_multiplies_floats_as_floats(spark, tmp_path):
+    """Some thousandths lie under their whole number as doubles and on it as floats."""
+    got, want = folded(spark, tmp_path, [[i / 1000] for i in range(-600, 600)] + [[0.123, 0.249], [-0.0, -0.5004], [9.2e15, -9.2e15], [-9223372036854776.0], [9e15, 9e15, -9e15]])
+    assert sorted(map(tuple, got.collect())) == sorted(want())
+
+
+def test_fold_of_nulls(spark, tmp_path):
+    got, want = folded(spark, tmp_path, [None, [], [None], [1.5, None], [None, 2.25, None, -0.25], [1.0]])
+    assert sorted(map(tuple, got.collect())) == sorted(want()) == [(0, None), (1, None), (2, None), (3, 1500), (4, 2000), (5, 1000)]
+
+
+@pytest.mark.parametrize("x", [math.nan, math.inf, -math.inf, 9.3e15, 3e38])
+def test_fold_without_whole_number_fails(spark, tmp_path, x):
+    got, want = folded(spark, tmp_path, [[1.0, x]])
+    with pytest.raises(duckdb.ConversionException):
+        want()
+    with pytest.raises(Exception, match="no 64-bit whole number"):
+        got.collect()
+
+
+def test_fold_over_64_bits_fails(spark, tmp_path):
+    got, _ = folded(spark, tmp_path, [[9e15, 9e15]])
+    with pytest.raises(Exception, match="OVERFLOW"):
+        got.collect()
